@@ -21,14 +21,18 @@ def lowered(*cols: str, sep: str = " ") -> Column:
     return F.lower(joined(*cols, sep=sep))
 
 
-def occurrences(text: Column, keyword: str) -> Column:
-    """Non-overlapping occurrences of one keyword."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(keyword)))
-    return (removed / F.lit(len(keyword))).cast("int")
-
-
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [occurrences(text, k) for k in keywords])
+    """Non-overlapping occurrences, summed over keywords.
+
+    ``text`` should be a plain column: inside the lambda an expression would be evaluated once per
+    keyword. One literal array keeps the generated code small whatever the lexicon.
+    """
+    return F.aggregate(
+        F.array(*[F.lit(k) for k in keywords]),
+        F.lit(0),
+        lambda total, k: total
+        + ((F.length(text) - F.length(F.replace(text, k, F.lit("")))) / F.length(k)).cast("int"),
+    )
 
 
 def any_in(text: Column, keywords: list[str]) -> Column:

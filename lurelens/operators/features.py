@@ -149,34 +149,37 @@ def _scaled(count: Column, total: Column, per: float = 100) -> Column:
     return F.least(F.lit(1.0), count / F.greatest(F.lit(1.0), total / F.lit(float(per))))
 
 
-def intent_scores(variant: str, lexicons: str = "full") -> dict[str, Column]:
-    """Scores normalised by hundred words. 'presence' counts two CTA words once each and uses its
-    own short legitimacy list; 'counts' uses full lexicons throughout."""
+INTENT_NAMES = ["urgency_score", "credential_score", "action_cta_score", "threat_score", "legitimacy_score"]
+
+
+def intent_scores(df: DataFrame, variant: str, lexicons: str = "full") -> DataFrame:
+    """Adds scores normalised by hundred words. 'presence' counts two CTA words once each and uses
+    its own short legitimacy list; 'counts' uses full lexicons throughout."""
     lex = rules.LEXICONS[lexicons]
-    first, second = ("body", "subject")
-    text = lowered(first, second)
-    total = F.size(words(text))
+    # the lowered text is a column of its own, so it is built once per mail
+    rows = df.withColumn("_lt", lowered("body", "subject")).withColumn("_lw", F.size(words(F.col("_lt"))))
+    text, total = F.col("_lt"), F.col("_lw")
     if variant == "presence":
         body = F.lower(blank("body"))
-        cta = sum((flag(body.contains(k)) for k in rules.CTA_PRESENCE[1:]), flag(body.contains(rules.CTA_PRESENCE[0])))
+        cta = flag(body.contains(rules.CTA_PRESENCE[0])) + flag(body.contains(rules.CTA_PRESENCE[1]))
         legit = keyword_hits(text, rules.LEGITIMACY_SHORT)
     else:
         cta = keyword_hits(text, lex["action_cta"])
         legit = keyword_hits(text, lex["legitimacy"])
-    counts = {
-        "urgency_score": keyword_hits(text, lex["urgency"]),
-        "credential_score": keyword_hits(text, lex["credential"]),
-        "action_cta_score": cta,
-        "threat_score": keyword_hits(text, lex["threat"]),
-        "legitimacy_score": legit,
-    }
-    return {n: F.when(total > 0, _scaled(c, total)).otherwise(0.0) for n, c in counts.items()}
+    counts = [
+        keyword_hits(text, lex["urgency"]), keyword_hits(text, lex["credential"]), cta,
+        keyword_hits(text, lex["threat"]), legit,
+    ]
+    return rows.select(
+        *df.columns,
+        *[F.when(total > 0, _scaled(c, total)).otherwise(0.0).alias(n) for n, c in zip(INTENT_NAMES, counts)],
+    )
 
 
 def subject_features() -> dict[str, Column]:
     subject = blank("subject")
     count = F.size(words(subject))
-    hits = keyword_hits(F.lower(subject), rules.URGENCY)
+    hits = keyword_hits(F.lower(subject), rules.URGENCY)  # subjects are short
     caps = (F.upper(subject) == subject) & (F.lower(subject) != subject) & (F.length(subject) > 5)
     return {
         "subject_length": count,
@@ -191,9 +194,9 @@ def structural_vector(df: DataFrame, ratios: bool = True) -> DataFrame:
     The constants of the declared vector (age, reputation, record checks) are left to the joins
     of ``operators.enrichment``. ``ratios`` adds the two derived columns of the combined form.
     """
-    base = url_features(df)
+    base = intent_scores(url_features(df), "presence")
     added = {
-        **domain_features(), **header_features(), **content_features(), **intent_scores("presence"),
+        **domain_features(), **header_features(), **content_features(),
         "subject_urgency_score": subject_features()["subject_urgency_score"],
         "subject_has_caps": subject_features()["subject_has_caps"],
     }
@@ -208,10 +211,15 @@ def structural_vector(df: DataFrame, ratios: bool = True) -> DataFrame:
     )
 
 
+CUES = ["asks_to_verify", "asks_credentials"]
+
+
 def operational_features(df: DataFrame) -> DataFrame:
-    """Adds the ten operational features. DNS flags are taken from the input when it has them
-    (see ``enrichment.mail_dns_flags``) and are 0 otherwise."""
-    text = lowered("subject", "body")
+    """Adds the ten operational features and two text cues of the heuristics, so that nothing after
+    this step needs the text. DNS flags are taken from the input when it has them (see
+    ``enrichment.mail_dns_flags``) and are 0 otherwise."""
+    rows = df.withColumn("_lt", lowered("subject", "body"))
+    text = F.col("_lt")
 
     def with_host(test: Callable[[Column, Column], Column]) -> Column:
         return any_url(lambda u: (L.netloc(u) != "") & test(u, L.netloc(u)))
@@ -226,11 +234,13 @@ def operational_features(df: DataFrame) -> DataFrame:
         "urgency_score": keyword_hits(text, rules.OPERATIONAL_URGENCY) * F.lit(2.0),
         "html_form_presence": flag(text.contains("<form") | text.contains('method="post"')),
         "sensitive_keyword_count": keyword_hits(text, rules.OPERATIONAL_SENSITIVE),
+        "asks_to_verify": flag(any_in(text, ["update your account", "verify"])),
+        "asks_credentials": flag(any_in(text, ["password", "login"])),
     }
     for name in ("unresolved_url_domain", "unresolved_sender_domain"):
         if name not in df.columns:
             added[name] = F.lit(0)
-    return df.select("*", *[c.alias(n) for n, c in added.items()])
+    return rows.select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
 HYBRID_NAMES = [

@@ -27,19 +27,13 @@ def _weighted(variant: str) -> Column:
     return F.least(F.lit(1.0), total)
 
 
-def _asks_to_verify(text: Column) -> Column:
-    return any_in(text, ["update your account", "verify"])
-
-
 def heuristic_probability(variant: str, text_probability: Column | None = None) -> Column:
     """Probability from the operational features; ``fusion_text`` needs a text model's score."""
-    text = lowered("subject", "body")
+    verify = F.col("asks_to_verify") == 1
     if variant == "api":
-        return F.least(F.lit(1.0), _weighted("api") + F.when(_asks_to_verify(text), 0.3).otherwise(0.0))
+        return F.least(F.lit(1.0), _weighted("api") + F.when(verify, 0.3).otherwise(0.0))
     if variant == "fusion_rules":
-        words = F.when(_asks_to_verify(text), 0.6).otherwise(0.0) + F.when(
-            any_in(text, ["password", "login"]), 0.3
-        ).otherwise(0.0)
+        words = F.when(verify, 0.6).otherwise(0.0) + F.when(F.col("asks_credentials") == 1, 0.3).otherwise(0.0)
         return late_fusion(words, _weighted(variant))
     if variant == "fusion_text":
         return late_fusion(F.greatest(F.lit(0.0), F.least(F.lit(1.0), text_probability)), _weighted(variant))

@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Uses all cores when a small file gives fewer tasks than there are cores. Scans of real size
+    have more splits than cores and pass through unchanged, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _template(field: str) -> Column:
     position = TEMPLATE_FIELDS.index(field)
     values = F.array(*[F.lit(row[position]) for row in TEMPLATES])
@@ -52,7 +59,9 @@ def emails(
     spark: SparkSession, sf_dir: str, urls: bool = False, ts: bool = False, text: bool = True
 ) -> DataFrame:
     """One mail per document. ``urls`` joins page URLs, ``ts`` joins event times."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", *(["text"] if text else []))
+    if text:
+        docs = spread(docs, "doc_id")
     d = F.col("doc_id")
     out = docs.select(
         "doc_id",
@@ -230,3 +239,22 @@ def reputation(spark: SparkSession, sf_dir: str, kind: str = "domain") -> DataFr
         "status",
         (F.col("_first") + F.make_dt_interval(hours=F.col("step"))).alias("observed_at"),
     )
+
+
+def dns_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup outcome per host."""
+    m = F.col("m")
+    status = (
+        F.when(m % 5 != 0, "resolved").when(m % 15 == 5, "timeout").when(m % 15 == 10, "error").otherwise("unresolved")
+    )
+    return url_hosts(spark, sf_dir).select("domain", status.alias("dns_status"))
+
+
+def blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed keys: every tenth page URL (normalised) and the hosts of every seventh page."""
+    from lurelens.functions import links as L
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    url = pages.filter("page_id % 10 = 0").select(F.lower(L.origin_and_path(F.col("url"))).alias("key"))
+    host = pages.filter("page_id % 7 = 0").select(L.hostname(F.col("url")).alias("key"))
+    return url.unionByName(host).distinct()

@@ -75,7 +75,7 @@ def brand_impersonation(spark, sf):
     return D.impersonation_hits(corpus_domains(spark, sf), "domain").select("domain", "brand")
 
 
-_MORE = f"SELECT DISTINCT b FROM (SELECT {s.base('d', 'analyzer')} AS b FROM x UNION ALL SELECT {s.base(chr(39) + 'g' + chr(39) + ' || substr(d, 2)', 'analyzer')} FROM x UNION ALL SELECT replace(replace(t.base, 'l', '1'), 'o', '0') FROM trusted t) WHERE b <> ''"
+_MORE = f"SELECT DISTINCT b FROM (SELECT {s.base('d', 'analyzer')} AS b FROM x UNION ALL SELECT {s.base("'g' || substr(d, 2)", 'analyzer')} FROM x UNION ALL SELECT replace(replace(t.base, 'l', '1'), 'o', '0') FROM trusted t) WHERE b <> ''"
 
 
 def _with_typos(spark, sf):
@@ -106,7 +106,7 @@ def digit_substitution(spark, sf):
 
 
 CROSS = {
-    "m": f"SELECT id, sd, rd, reply_to, {s.base('sd')} AS sb, {s.base('rd')} AS rb FROM (SELECT id, reply_to, {s.last_at('from_email')} AS sd, {s.last_at(chr(99) + 'oalesce(reply_to, ' + chr(39) * 2 + ')')} AS rd FROM emails)",
+    "m": f"SELECT id, sd, rd, reply_to, {s.base('sd')} AS sb, {s.base('rd')} AS rb FROM (SELECT id, reply_to, {s.last_at('from_email')} AS sd, {s.last_at("coalesce(reply_to, '')")} AS rd FROM emails)",
     "ud": f"SELECT id, pos, d, {s.base('d')} AS b FROM (SELECT id, pos, {s.lenient_host('url')} AS d FROM email_urls) WHERE d <> ''",
     "mm": "SELECT ud.id, string_agg(ud.d, ',' ORDER BY ud.pos) AS mismatched, string_agg(ud.d, ''', ''' ORDER BY ud.pos) AS quoted FROM ud JOIN m ON m.id = ud.id WHERE m.sd <> '' AND ud.b <> m.sb AND ud.b NOT IN (SELECT base FROM trusted) GROUP BY ud.id",
     "c": "SELECT m.*, m.sd <> '' AND m.rd <> '' AND m.sb <> m.rb AS reply_mismatch, mm.mismatched IS NOT NULL AS url_mismatch, coalesce(mm.mismatched, '') AS mismatched, mm.quoted FROM m LEFT JOIN mm ON mm.id = m.id",

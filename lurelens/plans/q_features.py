@@ -132,7 +132,7 @@ def _intent(variant, lexicons="full"):
 _TXT = "SELECT *, lower(body || ' ' || subject) AS txt FROM emails"
 for _key, _variant, _lex in (("presence", "presence", "full"), ("counts", "counts", "full"), ("declared", "counts", "declared")):
     def _run(spark, sf, v=_variant, lx=_lex):
-        return rounded(fx.emails(spark, sf).select("id", *[c.alias(n) for n, c in E.intent_scores(v, lx).items()]))
+        return rounded(E.intent_scores(fx.emails(spark, sf), v, lx).select("id", *E.INTENT_NAMES))
 
     query(f"intent_scores__{_key}", s.sql(f"SELECT id, {_select(_intent(_variant, _lex))} FROM x", "emails", x=_TXT))(_run)
 
@@ -179,7 +179,7 @@ FROM emails e LEFT JOIN email_urls u ON u.id = e.id GROUP BY e.id"""
 @query("features__operational", s.sql("SELECT *, 0 AS unresolved_url_domain, 0 AS unresolved_sender_domain FROM o", "email_urls", o=OPERATIONAL))
 def features_operational(spark, sf):
     mails = fx.emails(spark, sf, urls=True)
-    return E.operational_features(mails).drop(*[c for c in mails.columns if c != "id"])
+    return E.operational_features(mails).drop(*E.CUES, *[c for c in mails.columns if c != "id"])
 
 
 _LIST = "CASE WHEN array_to_string(urls, ',') = '' THEN [] ELSE string_split(array_to_string(urls, ','), ',') END"
