@@ -48,8 +48,9 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z that stand on word boundaries."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+\b"), F.lit(0))
+    """Whole words made of a-z only. A word ends where a letter, digit or underscore of any
+    script does, so 'été' gives no token."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]+$"))
 
 
 def flag(condition: Column) -> Column:

@@ -230,7 +230,7 @@ def detection_level(malicious: Column, suspicious: Column, status: Column) -> Co
     )
 
 
-def normalize_analysis(df: DataFrame) -> DataFrame:
+def normalize_analysis(df: DataFrame, *keys: str) -> DataFrame:
     """From (url, raw JSON, queued_at, completed_at) to the flat reputation form."""
     rows = df.select("*", F.from_json("raw", ANALYSIS_SCHEMA).alias("a"))
     flagged = F.filter(
@@ -243,7 +243,7 @@ def normalize_analysis(df: DataFrame) -> DataFrame:
 
     status = F.coalesce("a.status", F.lit("unknown"))
     return rows.select(
-        "url",
+        *keys, "url",
         F.split_part(F.element_at(F.split("url", "://"), -1), F.lit("/"), F.lit(1)).alias("domain"),
         status.alias("status"),
         F.coalesce(F.floor(micros / 1000), F.lit(0).cast("bigint")).alias("queue_time_ms"),

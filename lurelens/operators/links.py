@@ -252,10 +252,11 @@ def by_domain(df: DataFrame) -> DataFrame:
     )
 
 
-def merged_summary(df: DataFrame, variant: str = "web") -> DataFrame:
-    """Per mail: body URLs and given URLs merged by host (body first), with counts.
+def merged_urls(variant: str = "web") -> Column:
+    """ARRAY<STRUCT(host, raw, kind)>: body URLs and given URLs of a mail, first of each host.
 
-    Given URLs carry class 'provided', so the class counts see body URLs only.
+    Given URLs carry class 'provided'. The merge stays inside the row, because the URL list of one
+    mail is short: no shuffle.
     """
     if variant == "web":
         found = F.transform(
@@ -271,20 +272,33 @@ def merged_summary(df: DataFrame, variant: str = "web") -> DataFrame:
         F.col("urls"),
         lambda u: F.struct(L.hostname(L.web_url(u)).alias("host"), u.alias("raw"), F.lit("provided").alias("kind")),
     )
-    rows = df.select("id", F.posexplode_outer(F.concat(found, given)).alias("pos", "u"))
-    first = rows.groupBy("id", F.col("u.host").alias("host")).agg(F.min_by("u", "pos").alias("u"))
-
-    def total(c: Column) -> Column:
-        return F.count_if(F.coalesce(c, F.lit(False)))
-
-    kind = F.col("u.kind")
-    return first.groupBy("id").agg(
-        F.count("u").alias("url_count"),
-        total(kind == "shortened").alias("shortened_urls"),
-        total(kind == "ip_based").alias("ip_based"),
-        total(kind == "encoded").alias("encoded"),
-        total(L.suspicious_url(F.col("u.raw"))).alias("suspicious_count"),
-    )
+    return F.concat(found, given)
+
+
+def first_per_host(rows: Column) -> Column:
+    """``rows`` must be a plain column."""
+    return F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x.host), r.host) == i + 1)
+
+
+def with_merged(df: DataFrame, variant: str = "web") -> DataFrame:
+    return df.withColumn("_found", merged_urls(variant)).withColumn("merged", first_per_host(F.col("_found"))).drop("_found")
+
+
+def merged_counts() -> dict[str, Column]:
+    def total(test) -> Column:
+        return F.size(F.filter("merged", test))
+
+    return {
+        "url_count": F.size("merged"),
+        "shortened_urls": total(lambda r: r.kind == "shortened"),
+        "ip_based": total(lambda r: r.kind == "ip_based"),
+        "encoded": total(lambda r: r.kind == "encoded"),
+        "suspicious_count": total(lambda r: L.suspicious_url(r.raw)),
+    }
+
+
+def merged_summary(df: DataFrame, variant: str = "web") -> DataFrame:
+    return with_merged(df, variant).select("id", *[c.alias(n) for n, c in merged_counts().items()])
 
 
 def inventory(urls: DataFrame, dns: DataFrame) -> DataFrame:

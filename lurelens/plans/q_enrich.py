@@ -126,10 +126,8 @@ SELECT page_id, {_ST} AS status, split_part(string_split(url, '://')[-1], '/', 1
  CASE WHEN {_ST} = 'completed' THEN array_to_string(list_transform(list_filter(range(14), lambda i: (page_id + i) % (CASE WHEN page_id % 2 = 0 THEN 2 ELSE 4 END) < 2)[1:10], lambda i: printf('Engine%02d', i)), ',') ELSE '' END AS flagged_engines,
  translate(rtrim(base64(encode(url)), '='), '+/', '-_') AS url_key FROM pages"""))
 def analysis_normalized(spark, sf):
-    raw = raw_analyses(spark, sf)
-    out = J.normalize_analysis(raw)
-    ids = raw.select("url", "page_id")
-    return out.join(ids, "url").select("page_id", "status", "domain", "queue_time_ms", "malicious", "suspicious", "risk_level", F.array_join("flagged_engines", ",").alias("flagged_engines"), "url_key")
+    out = J.normalize_analysis(raw_analyses(spark, sf), "page_id")
+    return out.select("page_id", "status", "domain", "queue_time_ms", "malicious", "suspicious", "risk_level", F.array_join("flagged_engines", ",").alias("flagged_engines"), "url_key")
 
 
 @query("mail_reputation", s.sql(f"""SELECT u.id, count(*) AS urls_checked, CAST(coalesce(bool_or(r.malicious > 0 OR r.suspicious > 3), false) AS INT) AS malicious_detected,
@@ -156,9 +154,9 @@ def mails_without_listed_urls(spark, sf):
 
 
 @query("cached_reputation_as_of", s.sql("""
-SELECT id, CAST(pos AS INT) AS pos, CASE WHEN at IS NULL THEN 'miss' WHEN ok THEN 'hit' ELSE 'expired' END AS cache, CASE WHEN ok THEN mal END AS malicious FROM (
- SELECT *, at + CASE WHEN st = 'completed' THEN INTERVAL 24 HOURS ELSE INTERVAL 1 HOUR END >= ts AS ok FROM (
-  SELECT q.id, q.pos, q.ts, max(r.observed_at) AS at, arg_max(r.status, r.observed_at) AS st, arg_max(r.malicious, r.observed_at) AS mal
+SELECT id, CAST(pos AS INT) AS pos, CASE WHEN seen IS NULL THEN 'miss' WHEN ok THEN 'hit' ELSE 'expired' END AS cache, CASE WHEN ok THEN mal END AS malicious FROM (
+ SELECT *, seen + CASE WHEN st = 'completed' THEN INTERVAL 24 HOURS ELSE INTERVAL 1 HOUR END >= ts AS ok FROM (
+  SELECT q.id, q.pos, q.ts, max(r.observed_at) AS seen, arg_max(r.status, r.observed_at) AS st, arg_max(r.malicious, r.observed_at) AS mal
   FROM q LEFT JOIN reputation r ON r.kind = 'url' AND r.key = lower(q.url) AND r.observed_at <= q.ts AND CAST(r.observed_at AS DATE) >= CAST(q.ts AS DATE) - 1 GROUP BY ALL))""",
     "email_urls", "reputation", q="SELECT u.id, u.pos, u.url, e.ts FROM email_urls u JOIN emails e ON e.id = u.id"))
 def cached_reputation_as_of(spark, sf):

@@ -219,11 +219,11 @@ def urls_by_domain(spark, sf):
     return U.by_domain(fx.email_urls(spark, sf).select(L.hostname(u).alias("domain"), L.suspicious_url(u).alias("is_suspicious")))
 
 
-_KINDS = ", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {n}" for k, n in (("shortened", "shortened_urls"), ("ip_based", "ip_based"), ("encoded", "encoded")))
+_KINDS = ", ".join(f"CAST(count(CASE WHEN kind = '{k}' THEN 1 END) AS INT) AS {n}" for k, n in (("shortened", "shortened_urls"), ("ip_based", "ip_based"), ("encoded", "encoded")))
 
 
 @query("merged_url_summary__plain", s.sql(f"""
-SELECT e.id, count(o.raw) AS url_count, {_KINDS}, count(CASE WHEN {s.any_rx('o.raw', rules.SUSPICIOUS_URL_PATTERNS)} THEN 1 END) AS suspicious_count
+SELECT e.id, CAST(count(o.raw) AS INT) AS url_count, {_KINDS}, CAST(count(CASE WHEN {s.any_rx('o.raw', rules.SUSPICIOUS_URL_PATTERNS)} THEN 1 END) AS INT) AS suspicious_count
 FROM emails e LEFT JOIN once o ON o.id = e.id GROUP BY e.id""", "email_urls",
     found=f"SELECT id, unnest(l) AS raw, unnest(range(len(l))) AS pos, 'found' AS kind FROM (SELECT id, regexp_extract_all(body, {s.lit(rules.URL_EXTRACT['plain'])}) AS l FROM emails)",
     allu=f"SELECT id, raw, pos, {_class('raw')} AS kind FROM found UNION ALL SELECT id, url, pos + 1000000, 'provided' FROM email_urls",
