@@ -203,8 +203,10 @@ def risk_factors(df: DataFrame, variant: str = "web") -> DataFrame:
         factor((F.col("passwords") > 0) | (F.col("credit_cards") > 0), "CREDENTIAL_RISK", "critical", "Requests for sensitive credentials detected", 0.40),
         factor(F.col("urgency_language") > 0, "SOCIAL_ENG_RISK", "high", "Urgency/pressure tactics detected", 0.15),
     ]
-    rows = _full(df, variant).select("id", F.posexplode(F.filter(F.array(*factors), lambda x: x.isNotNull())).alias("n", "f"))
-    return rows.select("id", "n", "f.*")
+    found = F.filter(F.array(*factors), lambda x: x.isNotNull())
+    numbered = F.transform(found, lambda f, i: F.struct(f.severity_rank.alias("rank"), i.alias("i"), f.alias("f")))
+    rows = _full(df, variant).select("id", F.posexplode(F.array_sort(numbered)).alias("n", "x"))
+    return rows.select("id", "n", "x.f.*")
 
 
 def forensic_summary(df: DataFrame, variant: str = "web") -> DataFrame:

@@ -122,7 +122,7 @@ _SEV = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 @query("risk_factors", s.sql(" UNION ALL ".join(
     f"SELECT id, {_SEV[v]} AS severity_rank, '{c}' AS category, '{v}' AS severity, {t} AS description, {w}::DOUBLE AS weight FROM fx WHERE {k}" for k, c, v, t, w in _FACTORS), "email_urls", **_MERGED))
 def risk_factors(spark, sf):
-    return I.risk_factors(fx.emails(spark, sf, urls=True), "plain").drop("n").orderBy("id", "severity_rank", "category", "description")
+    return I.risk_factors(fx.emails(spark, sf, urls=True), "plain").drop("n")
 
 
 _BR = ", ".join(f"({i}, '{b}')" for i, b in enumerate(rules.BRAND_WORDS))
