@@ -54,53 +54,54 @@ def is_trusted_base(base: Column) -> Column:
     return base.isin(list(rules.TRUSTED_DOMAINS))
 
 
-def trust_match(domain: Column) -> Column:
-    """STRUCT(trusted, base_domain, category, match_type) for a lower-case domain."""
-    clean = F.regexp_replace(F.lower(domain), r"\.+$", "")
-    base = base_domain(clean)
+def trust_match(domain: Column, base: Column | None = None) -> Column:
+    """STRUCT(trusted, base_domain, category, match_type) for a domain.
+
+    Pass ``base`` when it already is a column; ``domain`` must then be lower-case and dot-free at
+    its end.
+    """
+    clean = domain if base is not None else F.regexp_replace(F.lower(domain), r"\.+$", "")
+    base = base_domain(clean) if base is None else base
     categories = _map((d, c) for d, (c, _) in rules.TRUSTED_DOMAINS.items())
-    allowed = F.create_map(
-        *[
-            x
-            for d, (_, subs) in rules.TRUSTED_DOMAINS.items()
-            for x in (F.lit(d), F.array(*[F.lit(s) for s in subs]).cast("array<string>"))
-        ]
-    )
+    # known subdomains as 'base/subdomain' keys: one membership test
+    known = [f"{d}/{sub}" for d, (_, subs) in rules.TRUSTED_DOMAINS.items() for sub in subs]
     prefix = subdomain_prefix(clean, base)
-    known = F.try_element_at(allowed, base)
     nearest = F.element_at(F.split(prefix, r"\."), -1)
     match_type = (
         F.when(clean == "", "none")
         .when(
             is_trusted_base(base),
-            F.when(prefix == "", "exact")
-            .when(F.array_contains(known, nearest) | F.array_contains(known, prefix), "subdomain")
+            F.when(clean == base, "exact")
+            .when(
+                F.concat(base, F.lit("/"), nearest).isin(known) | F.concat(base, F.lit("/"), prefix).isin(known),
+                "subdomain",
+            )
             .otherwise("unknown_subdomain"),
         )
         .when(any_match(clean, rules.GOVERNMENT_PATTERNS), "gov_pattern")
         .otherwise("none")
     )
     return F.struct(
-        match_type.isin("exact", "subdomain", "gov_pattern").alias("trusted"),
         F.when(clean == "", "").otherwise(base).alias("base_domain"),
-        F.coalesce(
-            F.when(match_type == "gov_pattern", "government").otherwise(
-                F.try_element_at(categories, base)
-            ),
-            F.lit(""),
-        ).alias("category"),
+        F.coalesce(F.try_element_at(categories, base), F.lit("")).alias("category"),
         match_type.alias("match_type"),
     )
 
 
-def impersonated_brands(domain: Column) -> Column:
-    """Brands whose look-alike pattern hits a domain that is not itself trusted."""
-    low = F.lower(domain)
-    hits = F.filter(
-        F.array(
-            *[F.when(low.rlike(p), F.lit(brand)) for p, brand in rules.IMPERSONATION_PATTERNS]
-        ),
-        lambda b: b.isNotNull(),
-    )
+def is_trusted(match: Column) -> Column:
+    return match.match_type.isin("exact", "subdomain", "gov_pattern")
+
+
+def category(match: Column) -> Column:
+    return F.when(match.match_type == "gov_pattern", "government").otherwise(match.category)
+
+
+def impersonated_brands(domain: Column, base: Column | None = None) -> Column:
+    """Brands whose look-alike pattern hits a domain that is not itself trusted. With ``base`` given
+    the domain must be lower-case."""
+    low = F.lower(domain) if base is None else domain
+    base = base_domain(low) if base is None else base
+    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(b).alias("b")) for p, b in rules.IMPERSONATION_PATTERNS])
+    hits = F.transform(F.filter(table, lambda x: F.regexp(low, x.p)), lambda x: x.b)
     none = F.array().cast("array<string>")
-    return F.when((low == "") | is_trusted_base(base_domain(low)), none).otherwise(hits)
+    return F.when((low == "") | is_trusted_base(base), none).otherwise(hits)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lurelens import rules
 from lurelens.functions import domains as D
 from lurelens.functions import links as L
+from lurelens.functions.stages import sealed
 from lurelens.functions.text import any_match, blank, flag
 
 LIMIT = 0.80
@@ -68,23 +69,33 @@ def url_domains() -> Column:
 
 
 def cross_check(df: DataFrame) -> DataFrame:
-    """Adds sender, reply-to and URL domains with their mismatches. Stays inside the row."""
-    out = df.select(
-        "*",
-        D.sender_domain(blank("from_email"), "last").alias("sender_domain"),
-        D.sender_domain(blank("reply_to"), "last").alias("reply_to_domain"),
-        url_domains().alias("url_domains"),
-    ).withColumn("sender_base", D.base_domain(F.col("sender_domain")))
+    """Adds sender, reply-to and URL domains with their bases and mismatches. Stays inside the row;
+    each base is worked out once."""
+    names = df.columns
+    out = sealed(
+        df.select(
+            "*",
+            D.sender_domain(blank("from_email"), "last").alias("sender_domain"),
+            D.sender_domain(blank("reply_to"), "last").alias("reply_to_domain"),
+            url_domains().alias("url_domains"),
+        )
+    )
+    out = sealed(
+        out.select(
+            "*",
+            D.base_domain(F.col("sender_domain")).alias("sender_base"),
+            D.base_domain(F.col("reply_to_domain")).alias("reply_base"),
+            F.transform("url_domains", lambda d: F.struct(d.alias("domain"), D.base_domain(d).alias("base"))).alias("hosts"),
+        )
+    )
     sender = F.col("sender_domain") != ""
-    mismatched = F.filter(
-        "url_domains",
-        lambda d: (D.base_domain(d) != F.col("sender_base")) & ~D.is_trusted_base(D.base_domain(d)),
+    mismatched = F.transform(
+        F.filter("hosts", lambda h: (h.base != F.col("sender_base")) & ~D.is_trusted_base(h.base)), lambda h: h.domain
     )
     return out.select(
-        "*",
+        *names, "sender_domain", "reply_to_domain", "sender_base", "reply_base", "url_domains", "hosts",
         flag(
-            sender & (F.col("reply_to_domain") != "")
-            & (F.col("sender_base") != D.base_domain(F.col("reply_to_domain")))
+            sender & (F.col("reply_to_domain") != "") & (F.col("sender_base") != F.col("reply_base"))
         ).alias("reply_mismatch"),
         F.when(sender, mismatched).otherwise(F.array().cast("array<string>")).alias("mismatched_url_domains"),
     ).withColumn("url_mismatch", flag(F.size("mismatched_url_domains") > 0))
@@ -96,37 +107,39 @@ def _kept(*items: Column) -> Column:
 
 def trust_score(df: DataFrame) -> DataFrame:
     """Trust in [0, 1] with signals and warnings. Each step clamps before the next one."""
-    out = cross_check(df).select(
-        "*",
-        D.trust_match(F.col("sender_domain")).alias("sender_trust"),
-        D.trust_match(F.col("reply_to_domain")).alias("reply_trust"),
-        F.size(F.filter("url_domains", lambda d: D.trust_match(d).trusted)).alias("trusted_urls"),
-        F.concat(
-            F.transform(
-                D.impersonated_brands(F.col("sender_domain")),
-                lambda b: F.struct(F.col("sender_domain").alias("domain"), b.alias("brand")),
-            ),
-            F.flatten(
-                F.transform(
-                    "url_domains",
-                    lambda d: F.transform(
-                        D.impersonated_brands(d), lambda b: F.struct(d.alias("domain"), b.alias("brand"))
-                    ),
-                )
-            ),
-        ).alias("impersonations"),
+    def faked(domain: Column, base: Column) -> Column:
+        return F.transform(
+            D.impersonated_brands(domain, base), lambda b: F.struct(domain.alias("domain"), b.alias("brand"))
+        )
+
+    out = sealed(
+        cross_check(df).select(
+            "*",
+            D.trust_match(F.col("sender_domain"), F.col("sender_base")).alias("sender_trust"),
+            D.trust_match(F.col("reply_to_domain"), F.col("reply_base")).alias("reply_trust"),
+            F.size(F.filter("hosts", lambda h: D.is_trusted(D.trust_match(h.domain, h.base)))).alias("trusted_urls"),
+            F.concat(
+                faked(F.col("sender_domain"), F.col("sender_base")),
+                F.flatten(F.transform("hosts", lambda h: faked(h.domain, h.base))),
+            ).alias("impersonations"),
+        ).drop("hosts")
     )
-    trusted = F.col("sender_trust.trusted")
+    trusted = D.is_trusted(F.col("sender_trust"))
     match_type = F.col("sender_trust.match_type")
     has_reply = F.col("reply_to").contains("@")
-    reply_trusted = F.coalesce(has_reply, F.lit(False)) & F.col("reply_trust.trusted")
+    reply_trusted = F.coalesce(has_reply, F.lit(False)) & D.is_trusted(F.col("reply_trust"))
     zero = F.lit(0.0)
+
+    def minus(step: Column, condition: Column, amount: float) -> Column:
+        """Takes the amount off and clamps at 0; each step names the one before only once."""
+        return F.greatest(zero, step - F.when(condition, amount).otherwise(zero))
+
     step = F.when(trusted, 0.4).when(match_type == "unknown_subdomain", 0.1).otherwise(zero)
-    step = F.when(F.size("impersonations") > 0, F.greatest(zero, step - 0.3)).otherwise(step)
-    step = F.when(F.col("reply_mismatch") == 1, F.greatest(zero, step - 0.2)).otherwise(step)
-    step = F.when((F.col("url_mismatch") == 1) & ~trusted, F.greatest(zero, step - 0.1)).otherwise(step)
-    step = F.when(reply_trusted & trusted, step + 0.1).otherwise(step)
-    step = F.when((F.col("trusted_urls") > 0) & trusted, step + 0.1).otherwise(step)
+    step = minus(step, F.size("impersonations") > 0, 0.3)
+    step = minus(step, F.col("reply_mismatch") == 1, 0.2)
+    step = minus(step, (F.col("url_mismatch") == 1) & ~trusted, 0.1)
+    step = step + F.when(reply_trusted & trusted, 0.1).otherwise(zero)
+    step = step + F.when((F.col("trusted_urls") > 0) & trusted, 0.1).otherwise(zero)
     sender, reply = F.col("sender_domain"), F.col("reply_to_domain")
     cross_warnings = _kept(
         F.format_string("Sender domain (%s) differs from Reply-To (%s)", sender, reply),
@@ -143,7 +156,7 @@ def trust_score(df: DataFrame) -> DataFrame:
         "*",
         F.round(F.greatest(zero, F.least(F.lit(1.0), step)), 3).alias("trust_score"),
         _kept(
-            F.when(trusted, F.format_string("Sender domain '%s' is a verified %s domain", sender, F.col("sender_trust.category"))),
+            F.when(trusted, F.format_string("Sender domain '%s' is a verified %s domain", sender, D.category(F.col("sender_trust")))),
             F.when(reply_trusted & trusted, F.format_string("Reply-To domain '%s' is also verified", reply)),
             F.when((F.col("trusted_urls") > 0) & trusted, F.format_string("%d URL(s) point to verified domains", F.col("trusted_urls"))),
         ).alias("trust_signals"),

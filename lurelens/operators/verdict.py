@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurelens import rules
+from lurelens.functions import domains as D
 from lurelens.functions.risk import action, ladder
+from lurelens.functions.stages import sealed
 from lurelens.functions.text import any_in, blank, flag, lowered, round6
 
 NO_STRINGS = "array<string>"
@@ -189,10 +191,9 @@ def full_verdict(df: DataFrame) -> DataFrame:
     rows = df.withColumn("heuristic", heuristic_probability("api"))
     h = F.col("heuristic")
     bonus = (F.col("trust_score") > 0.3) & ~faked
-    step = F.when(
-        bonus, F.greatest(F.lit(0.0), h - F.least(F.lit(0.15), F.col("trust_score") * F.lit(0.25)))
-    ).otherwise(h)
-    rows = rows.withColumn("probability", F.when(faked, F.least(F.lit(1.0), step + 0.2)).otherwise(step))
+    relief = F.when(bonus, F.least(F.lit(0.15), F.col("trust_score") * F.lit(0.25))).otherwise(0.0)
+    raised = F.greatest(F.lit(0.0), h - relief) + F.when(faked, 0.2).otherwise(0.0)
+    rows = sealed(rows.withColumn("probability", F.least(F.lit(1.0), raised)))
     p = F.col("probability")
     phishing = faked | (p >= 0.5)
     level = F.when(faked, "CRITICAL").otherwise(ladder(p, "operational"))
@@ -206,8 +207,8 @@ def full_verdict(df: DataFrame) -> DataFrame:
             ),
             F.when(faked, F.concat(F.lit(WARN + "Brand impersonation detected: "), brands)),
             F.when(
-                F.col("sender_trust.trusted") & ~faked,
-                F.format_string("✅ Sender domain is a verified %s domain", F.col("sender_trust.category")),
+                D.is_trusted(F.col("sender_trust")) & ~faked,
+                F.format_string("✅ Sender domain is a verified %s domain", D.category(F.col("sender_trust"))),
             ),
         ),
         F.transform(F.slice("trust_warnings", 1, 2), lambda w: F.concat(F.lit(WARN), w)),
@@ -218,9 +219,8 @@ def full_verdict(df: DataFrame) -> DataFrame:
         F.when(faked | phishing, p).otherwise(F.lit(1.0) - p).alias("confidence"),
         safety_score(p).alias("safety_score"),
         level.alias("risk_level"),
-        action(level).alias("recommended_action"),
         F.slice(reasons, 1, 5).alias("reasoning"),
-    )
+    ).withColumn("recommended_action", action(F.col("risk_level")))
 
 
 def explanation_weights(confidence: Column) -> Column:

@@ -56,11 +56,14 @@ def _template(field: str) -> Column:
 
 
 def emails(
-    spark: SparkSession, sf_dir: str, urls: bool = False, ts: bool = False, text: bool = True
+    spark: SparkSession, sf_dir: str, urls: bool = False, ts: bool = False, text: bool = True,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
-    """One mail per document. ``urls`` joins page URLs, ``ts`` joins event times."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", *(["text"] if text else []))
-    if text:
+    """One mail per document. ``urls`` joins page URLs, ``ts`` joins event times; ``documents`` may
+    be a stream of that table."""
+    docs = documents if documents is not None else table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", *(["text"] if text else []))
+    if text and not docs.isStreaming:
         docs = spread(docs, "doc_id")
     d = F.col("doc_id")
     out = docs.select(

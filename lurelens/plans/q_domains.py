@@ -67,7 +67,7 @@ TRUST = f"""SELECT d, b, match_type, match_type IN ('exact', 'subdomain', 'gov_p
 @query("trusted_domains", s.sql("SELECT d AS domain, b AS base_domain, CAST(ok AS INT) AS trusted, category, match_type FROM t", "email_urls", "trusted", x=ALL_DOMAINS, t=TRUST))
 def trusted_domains(spark, sf):
     return corpus_domains(spark, sf).select("domain", DF.trust_match(F.col("domain")).alias("m")).select(
-        "domain", "m.base_domain", flag(F.col("m.trusted")).alias("trusted"), "m.category", "m.match_type")
+        "domain", "m.base_domain", flag(DF.is_trusted(F.col("m"))).alias("trusted"), DF.category(F.col("m")).alias("category"), "m.match_type")
 
 
 @query("brand_impersonation", s.sql("SELECT t.d AS domain, b.brand FROM t JOIN brands b ON regexp_matches(t.d, b.pattern) WHERE NOT t.known", "email_urls", "trusted", "brands", x=ALL_DOMAINS, t=TRUST))
