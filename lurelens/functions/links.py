@@ -86,9 +86,9 @@ BLOCKED_RANGES = [(_number(lo), _number(hi)) for lo, hi in rules.BLOCKED_IPV4]
 
 
 def blocked_ipv4(host: Column) -> Column:
-    """True for dotted addresses in private, loopback, multicast or reserved ranges."""
-    number = ipv4_number(host)
-    inside = F.lit(False)
-    for lo, hi in BLOCKED_RANGES:
-        inside = inside | number.between(lo, hi)
-    return F.when(host.rlike(IPV4_STRICT), inside).otherwise(F.lit(False))
+    """True for dotted addresses in private, loopback, multicast or reserved ranges. ``host`` should
+    be a plain column."""
+    table = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in BLOCKED_RANGES])
+    return F.when(
+        host.rlike(IPV4_STRICT), F.exists(table, lambda r: ipv4_number(host).between(r.lo, r.hi))
+    ).otherwise(F.lit(False))

@@ -60,7 +60,7 @@ def parse_html(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from _parsed_batches(batches)
 
-    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, T.StringType())(text)
 
 
 def strip_urls(text: Column) -> Column:

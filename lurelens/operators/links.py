@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lurelens import rules
 from lurelens.functions import links as L
 from lurelens.functions.domains import base_domain
-from lurelens.functions.risk import ladder
-from lurelens.functions.text import any_in, any_match, blank, flag, round6
+from lurelens.functions.stages import sealed
+from lurelens.functions.text import any_in, any_match, blank, flag
 
 NO_STRINGS = "array<string>"
 
@@ -164,7 +164,8 @@ def normalize_for_scan(url: Column) -> Column:
     """NULL when the URL cannot be scanned."""
     tidy = F.regexp_replace(F.trim(url), r"""[.,;:!?)>\]}'"]+$""", "")
     full = F.when(tidy.rlike(r"(?i)^www\."), F.concat(F.lit("https://"), tidy)).otherwise(tidy)
-    usable = full.rlike(r"(?i)^https?://") & (F.regexp_extract(full, L.HOST, 1) != "")
+    open_bracket = full.rlike(r"^[^/?#]*//[^/?#]*\[[^\]/?#]*(?:[/?#]|$)")
+    usable = full.rlike(r"(?i)^https?://") & (F.regexp_extract(full, L.HOST, 1) != "") & ~open_bracket
     return F.when(usable, full)
 
 
@@ -187,10 +188,7 @@ def blocked_ipv6(host: Column) -> Column:
         | ((lead == 0x3FFF) & second.between(0, 0xFFF))
     )
     global_range = lead.between(0x2000, 0x3FFF) | lead.between(0xFEC0, 0xFEFF)
-    mapped = F.regexp_extract(host, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    return F.when(mapped != "", L.blocked_ipv4(mapped)).otherwise(
-        F.contains(host, F.lit(":")) & (~global_range | special)
-    )
+    return F.contains(host, F.lit(":")) & (~global_range | special)
 
 
 def blocked_host(host: Column) -> Column:
@@ -208,8 +206,8 @@ def scannable_urls(df: DataFrame, *keys: str) -> DataFrame:
     first = rows.groupBy(*keys, F.lower("url").alias("url_key")).agg(
         F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url")
     )
-    host = L.hostname(F.col("url"))
-    return first.select(*keys, "pos", "url", host.alias("host")).filter(~blocked_host(F.col("host")))
+    hosts = sealed(first.select(*keys, "pos", "url", L.hostname(F.col("url")).alias("host")))
+    return hosts.filter(~blocked_host(F.col("host")))
 
 
 def unwrap_redirects(df: DataFrame, href: Column, *keys: str) -> DataFrame:
