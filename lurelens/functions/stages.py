@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,10 @@ def sealed(df: DataFrame, *columns: str) -> DataFrame:
     """
     names = columns or tuple(df.columns)
     return df.select(F.inline(F.array(F.struct(*names))))
+
+
+def unpacked(df: DataFrame, keys, array: Column, position: str, value: str) -> DataFrame:
+    """One row per array element. The array is built once: without the seal Spark copies its whole
+    expression into a 'not empty' filter below the explode and evaluates it twice or more."""
+    rows = sealed(df.select(*keys, array.alias("_array")))
+    return rows.select(*keys, F.posexplode("_array").alias(position, value))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurelens.functions.risk import risk_rank
+from lurelens.functions.stages import unpacked
 from lurelens.functions.text import blank, flag
 
 
@@ -67,7 +68,7 @@ def corpus_statistics(df: DataFrame) -> DataFrame:
 
 def vocabulary_size(tokens: DataFrame) -> DataFrame:
     """Distinct terms of an array column ``tokens``; terms fold map-side and per row first."""
-    terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = unpacked(tokens, [], F.array_distinct("tokens"), "_n", "term").groupBy("term").agg(F.count("*").alias("df"))
     return terms.agg(F.count("*").alias("vocabulary"), F.sum("df").alias("postings"))
 
 

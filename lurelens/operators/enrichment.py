@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lurelens.functions import links as L
 from lurelens.functions.domains import sender_domain
 from lurelens.functions.risk import ladder
+from lurelens.functions.stages import unpacked
 from lurelens.functions.text import blank, flag
 
 SALTS = 8
@@ -44,7 +45,7 @@ def mail_domains(df: DataFrame) -> DataFrame:
         F.when(sender != "", F.array(F.struct(sender.alias("domain"), F.lit("sender").alias("role"))))
         .otherwise(F.array().cast("array<struct<domain:string,role:string>>")),
     )
-    return df.select("id", F.explode(rows).alias("r")).select("id", "r.domain", "r.role")
+    return unpacked(df, ["id"], rows, "_n", "r").select("id", "r.domain", "r.role")
 
 
 def mail_dns_flags(df: DataFrame, dns: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lurelens import rules
 from lurelens.functions.risk import ladder
+from lurelens.functions.stages import unpacked
 from lurelens.functions.text import any_match, blank, flag
 from lurelens.operators import links as U
 from lurelens.operators.domains import address_flags, brand_mentions, web_domain
@@ -84,7 +85,7 @@ def ioc_rows(df: DataFrame) -> DataFrame:
         "found_addresses", lambda a: F.struct(F.lit("address").alias("kind"), a.alias("value"), F.element_at(F.split(a, "@"), 2).alias("class"))
     )
     ip = F.transform("found_ips", lambda i: F.struct(F.lit("ipv4").alias("kind"), i.alias("value"), ip_class(i).alias("class")))
-    return with_iocs(df).select("id", F.explode(F.concat(address, ip)).alias("x")).select("id", "x.*")
+    return unpacked(with_iocs(df), ["id"], F.concat(address, ip), "_n", "x").select("id", "x.*")
 
 
 # -- content risk -----------------------------------------------------------------
@@ -205,7 +206,7 @@ def risk_factors(df: DataFrame, variant: str = "web") -> DataFrame:
     ]
     found = F.filter(F.array(*factors), lambda x: x.isNotNull())
     numbered = F.transform(found, lambda f, i: F.struct(f.severity_rank.alias("rank"), i.alias("i"), f.alias("f")))
-    rows = _full(df, variant).select("id", F.posexplode(F.array_sort(numbered)).alias("n", "x"))
+    rows = unpacked(_full(df, variant), ["id"], F.array_sort(numbered), "n", "x")
     return rows.select("id", "n", "x.f.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lurelens import rules
 from lurelens.functions import links as L
 from lurelens.functions.domains import base_domain
-from lurelens.functions.stages import sealed
+from lurelens.functions.stages import sealed, unpacked
 from lurelens.functions.text import any_in, any_match, blank, flag
 
 NO_STRINGS = "array<string>"
@@ -39,7 +39,7 @@ def web_urls(text: Column) -> Column:
 
 def extract_web(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """One row per (mail, host): the first URL found for that host."""
-    rows = df.select(id_col, F.posexplode(web_urls(text)).alias("pos", "u"))
+    rows = unpacked(df, [id_col], web_urls(text), "pos", "u")
     first = rows.groupBy(id_col, F.col("u.host").alias("host")).agg(F.min_by("u.raw", "pos").alias("raw"))
     raw = F.col("raw")
     return first.select(
@@ -97,7 +97,7 @@ def query_parameters(df: DataFrame, *keys: str) -> DataFrame:
     def decoded(c: Column) -> Column:
         return F.coalesce(F.try_url_decode(c), c)
 
-    return df.select(*keys, "url", F.posexplode(parts).alias("n", "part")).select(
+    return unpacked(df, [*keys, "url"], parts, "n", "part").select(
         *keys, "url", "n",
         decoded(F.regexp_extract("part", "^([^=]*)=", 1)).alias("key"),
         decoded(F.regexp_extract("part", "^[^=]*=(.*)$", 1)).alias("value"),
@@ -129,7 +129,7 @@ def anchors(html: Column) -> Column:
 
 def link_table(df: DataFrame, html: Column, *keys: str) -> DataFrame:
     """One row per anchor with an href: (keys, n, link_text, href)."""
-    rows = df.select(*keys, F.posexplode(anchors(html)).alias("n", "a"))
+    rows = unpacked(df, keys, anchors(html), "n", "a")
     return rows.select(*keys, "n", "a.link_text", "a.href").filter(F.col("href") != "")
 
 
@@ -200,9 +200,8 @@ def blocked_host(host: Column) -> Column:
 def scannable_urls(df: DataFrame, *keys: str) -> DataFrame:
     """Given URLs, then body URLs; first of equal URLs wins; private targets removed."""
     raw = F.concat(F.coalesce("urls", F.array().cast(NO_STRINGS)), extract(F.col("body"), "scanner"))
-    rows = df.select(*keys, F.posexplode(raw).alias("pos", "raw")).select(
-        *keys, "pos", normalize_for_scan(F.col("raw")).alias("url")
-    ).filter(F.col("url").isNotNull())
+    rows = unpacked(df, keys, raw, "pos", "raw").select(*keys, "pos", normalize_for_scan(F.col("raw")).alias("url"))
+    rows = sealed(rows).filter(F.col("url").isNotNull())
     first = rows.groupBy(*keys, F.lower("url").alias("url_key")).agg(
         F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url")
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurelens.functions.stages import unpacked
+
 TEMPLATE_FIELDS = ["subject", "from_email", "reply_to", "snippet", "url", "label"]
 # FIXED VALUES: the 15 sample mails and 5 test mails
 TEMPLATES = [
@@ -118,7 +120,7 @@ def emails(
 
 def email_urls(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
     """One row per (mail, url position); mails without URLs give no row."""
-    return emails(spark, sf_dir, urls=True).select("id", *carry, F.posexplode("urls").alias("pos", "url"))
+    return unpacked(emails(spark, sf_dir, urls=True, text="body" in carry), ["id", *carry], F.col("urls"), "pos", "url")
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:

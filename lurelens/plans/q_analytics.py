@@ -10,11 +10,13 @@ from lurelens.functions.text import flag, round6
 from lurelens.operators import analytics as A
 from lurelens.operators import cleaning as C
 from lurelens.operators import evaluation as V
+from lurelens.operators import neardup as N
 from lurelens.operators import splits as S
 from lurelens.plans import fixtures as fx
 from lurelens.plans import sqlparts as s
 from lurelens.plans.q_features import rounded
 from lurelens.plans.registry import query
+from lurelens.session import work_folder
 
 _VERDICTS = f"SELECT id, model, label, source, CAST(probability > 5e-1 AS INT) AS phishing, greatest(probability, 1e0 - probability) AS confidence, {s.ladder('probability', 'ensemble')} AS risk_level FROM predictions"
 
@@ -76,6 +78,19 @@ def deduplicated_documents(spark, sf):
     return A.drop_duplicates(docs, "text").select("id")
 
 
+_NEAR = {
+    "wd": "SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM documents",
+    "cn": "SELECT id, word, count(*) AS n FROM (SELECT id, unnest(w) AS word FROM wd) GROUP BY ALL",
+    "wt": "SELECT id, word, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM cn",
+}
+
+
+@query("near_duplicates", s.sql("SELECT DISTINCT b.id FROM (SELECT a.id AS first, b.id FROM wt a JOIN wt b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.x * b.x) >= 0.95 - 1e-9) b", **_NEAR))
+def near_duplicates(spark, sf):
+    docs = fx.spread(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return N.near_duplicates(docs, work_folder(spark))
+
+
 @query("majority_labels", s.sql(f"SELECT id, label, {s.r6('n / tot')} AS confidence, CAST(n / tot >= 8.5e-1 AS INT) AS accepted FROM (SELECT id, label, n::DOUBLE AS n, sum(n) OVER (PARTITION BY id)::DOUBLE AS tot, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rn FROM (SELECT id, label, count(*) AS n FROM votes GROUP BY id, label)) WHERE rn = 1", "votes"))
 def majority_labels(spark, sf):
     return rounded(A.majority_labels(fx.votes(spark, sf)))

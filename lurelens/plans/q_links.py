@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lurelens import rules
 from lurelens.functions import links as L
+from lurelens.functions.stages import unpacked
 from lurelens.functions.text import flag, round6
 from lurelens.operators import features as E
 from lurelens.operators import enrichment as J
@@ -18,7 +19,7 @@ from lurelens.plans.registry import query
 def _extracted(variant):
     def run(spark, sf):
         mails = fx.emails(spark, sf)
-        return mails.select("id", F.posexplode(U.extract(F.col("body"), variant)).alias("pos", "url"))
+        return unpacked(mails, ["id"], U.extract(F.col("body"), variant), "pos", "url")
 
     return run
 

@@ -34,8 +34,9 @@ def _weights(spark, sf):
 
 @query("tfidf_vocabulary", s.sql("SELECT term, df, CAST(total AS BIGINT) AS tf FROM vo", "emails", **TFIDF))
 def tfidf_vocabulary(spark, sf):
-    docs = T.term_arrays(fx.emails(spark, sf), F.col("body"), rules.STOPWORDS)
-    return T.vocabulary(docs).select("term", "df", "tf")
+    mails = fx.emails(spark, sf)
+    docs = T.term_arrays(mails, F.col("body"), rules.STOPWORDS)
+    return T.vocabulary(docs, T.row_count(mails)).select("term", "df", "tf")
 
 
 @query("tfidf_weights", s.sql(f"SELECT id, term, {s.r6('weight')} AS weight FROM wt", "emails", **TFIDF))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lurelens.functions.text import round6
@@ -13,16 +10,10 @@ from lurelens.plans import sqlparts as s
 from lurelens.plans.q_verdict import OP_VIEWS, API_P
 from lurelens.plans.q_domains import TRUST_VIEWS
 from lurelens.plans.registry import query
-from lurelens.session import checkpoint_dir
+from lurelens.session import work_folder
 from lurelens.streaming import jobs as S
 
 
-def work_folder(spark) -> str:
-    """A fresh folder below the shared one the cluster names; a local one only where none is set."""
-    shared = checkpoint_dir(spark)
-    return f"{shared.rstrip('/')}/lurelens-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="lurelens-")
-
-
 def _events(spark, sf):
     rows = S.stream_table(spark, sf, "events")
     return rows.select(F.col("user_id").alias("scan_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), fx.scan_status().alias("status"), "value")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lurelens import rules
 from lurelens.functions.risk import action, ladder
+from lurelens.functions.stages import unpacked
 from lurelens.functions.text import flag, round6
 from lurelens.operators import domains as D
 from lurelens.operators import enrichment as J
@@ -217,7 +218,8 @@ def explanation_rows(spark, sf):
     alpha = F.least(((F.col("id") * 37) % 101) / F.lit(100.0), F.lit(1.0))
     rows = fx.emails(spark, sf, urls=True)
     w = V.explanation_weights(F.greatest(alpha, F.lit(1.0) - alpha))
-    return rows.select("id", flag(alpha > 0.5).alias("phishing"), F.posexplode(w).alias("rank", "w")).select("id", "phishing", "rank", "w.feature", "w.weight")
+    rows = rows.withColumn("phishing", flag(alpha > 0.5))
+    return unpacked(rows, ["id", "phishing"], w, "rank", "w").select("id", "phishing", "rank", "w.feature", "w.weight")
 
 
 @query("explanation_weights", s.sql("SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, feature) - 1 AS INT) AS rank, feature, weight FROM xw", "email_urls", "predictions", **_XW))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +38,9 @@ def local_session(app: str = "lurelens", cpus: str | None = None) -> SparkSessio
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared one the cluster names; a local one only where none is set."""
+    shared = checkpoint_dir(spark)
+    return f"{shared.rstrip('/')}/lurelens-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="lurelens-")
