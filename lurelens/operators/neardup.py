@@ -1,14 +1,15 @@
-"""Near-duplicate removal by cosine similarity of word counts: a text goes when an earlier text is
-at least ``threshold`` similar. Exact: no sampling, no cap on candidates.
+"""Near-duplicate removal by cosine similarity of 3-word shingle counts: a text goes when an earlier
+text is at least ``threshold`` similar. Exact: no sampling, no cap on candidates.
 
 1. Copies (equal word sequences) fold to their first text by a digest, map-side. A group of copies,
    however large, is one row from here on.
-2. Prefix filter. Words are ordered rare first; the first word two similar texts share must lie where
-   the rest of each vector still has norm >= threshold. Only those leading, rare words make candidates.
-3. Leaders. In each word group every text is compared with the first text of the group, then with the
+2. Prefix filter. Shingles are ordered rare first; the first one two similar texts share must lie where
+   the rest of each vector still has norm >= threshold. Only those leading, rare ones (about a tenth)
+   make candidates, so a group holds little else than near-copies.
+3. Leaders. In each shingle group every text is compared with the first text of the group, then with the
    first text of each of 16 sub-groups: one row per member and leader, never all pairs. Texts found
    similar are decided and leave.
-4. What is still undecided meets the remaining members of its word groups in a salted join. For groups
+4. What is still undecided meets the remaining members of its groups in a salted join. For groups
    of near-copies nearly nothing is left by then.
 """
 
@@ -26,6 +27,7 @@ from lurelens.operators.enrichment import SALTS, left_on_key
 from lurelens.operators.vectorize import WORD_GAP
 
 SUB_GROUPS = 16
+WIDTH = 3
 SLACK = 1e-9
 
 
@@ -46,17 +48,43 @@ def first_copies(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
     return keyed, keyed.join(first.select("id"), "id", "left_semi").select("id", "words")
 
 
-def word_vectors(rows: DataFrame) -> DataFrame:
-    """(id, word, weight) with unit norm per text."""
-    counts = unpacked(rows, ["id"], F.col("words"), "_n", "word").repartition("id").groupBy("id", "word").agg(F.count("*").alias("n"))
+def shingles(words: Column, width: int = WIDTH) -> Column:
+    """Runs of ``width`` words as 64-bit keys; a shorter text is one shingle. ``words`` must be a
+    plain column."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
+
+
+def shingle_vectors(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, word, weight) with unit norm per text; ``word`` is a shingle."""
+    counts = unpacked(rows, ["id"], shingles(F.col("words"), width), "_n", "word").repartition("id").groupBy("id", "word").agg(F.count("*").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
     return counts.select("id", "word", (F.col("n") / norm).alias("weight"))
 
 
-def leading_words(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(word, id, rest): the words of the prefix filter, with the squared norm from there on."""
+HOT_KEYS = 10_000
+
+
+def with_frequency(vectors: DataFrame) -> DataFrame:
+    """Adds ``df``, the number of texts with the shingle.
+
+    A shingle of a large group of near-copies may stand in a third of all texts. Shingles in more
+    than 1/10 000 of all rows are at most 10 000, so they are broadcast; the others are joined by
+    shuffle, where no key can be larger than that share.
+    """
+    total = vectors.agg(F.count("*").alias("n")).scalar()
     df = vectors.groupBy("word").agg(F.count("*").alias("df"))
-    rows = left_on_key(vectors, df, "word")
+    limit = F.greatest(total / HOT_KEYS, F.lit(1000.0))
+    hot = F.broadcast(df.filter(F.col("df") > limit).withColumnRenamed("df", "hot_df"))
+    marked = vectors.join(hot, "word", "left")
+    common = marked.filter(F.col("hot_df").isNotNull()).withColumnRenamed("hot_df", "df")
+    rare = marked.filter(F.col("hot_df").isNull()).drop("hot_df").join(df.filter(F.col("df") <= limit), "word")
+    return common.unionByName(rare)
+
+
+def leading_words(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(word, id, rest): the shingles of the prefix filter, with the squared norm from there on."""
+    rows = with_frequency(vectors)
     # summed from the common end, so the running total is the squared norm of the rest
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("word")).rowsBetween(Window.unboundedPreceding, 0)
     rest = F.sum(F.col("weight") * F.col("weight")).over(order)
@@ -65,7 +93,7 @@ def leading_words(vectors: DataFrame, threshold: float) -> DataFrame:
 
 def packed(vectors: DataFrame) -> DataFrame:
     """(id, keys, weights) as arrays ordered by key; a text has as many entries as distinct words."""
-    pair = F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("k"), F.col("weight").alias("w"))))
+    pair = F.sort_array(F.collect_list(F.struct(F.col("word").alias("k"), F.col("weight").alias("w"))))
     return vectors.groupBy("id").agg(pair.alias("v")).select("id", F.col("v.k").alias("keys"), F.col("v.w").alias("weights"))
 
 
@@ -115,7 +143,7 @@ def near_duplicates(df: DataFrame, folder: str, threshold: float = 0.95, text: s
     keyed, rows = first_copies(df, text)
     keys = _saved(keyed.select("id", "digest"), folder, "keys")
     copies = keys.join(keys.groupBy("digest").agg(F.min("id").alias("first")), "digest").filter("id <> first").select("id", "first")
-    vectors = _saved(word_vectors(rows), folder, "words")
+    vectors = _saved(shingle_vectors(rows), folder, "shingles")
     postings = _saved(leading_words(vectors, threshold), folder, "postings")
     arrays = _saved(packed(vectors), folder, "vectors")
 

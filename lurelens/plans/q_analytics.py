@@ -80,7 +80,7 @@ def deduplicated_documents(spark, sf):
 
 _NEAR = {
     "wd": "SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM documents",
-    "cn": "SELECT id, word, count(*) AS n FROM (SELECT id, unnest(w) AS word FROM wd) GROUP BY ALL",
+    "cn": "SELECT id, word, count(*) AS n FROM (SELECT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS word FROM wd) GROUP BY ALL",
     "wt": "SELECT id, word, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM cn",
 }
 

@@ -150,3 +150,37 @@ def test_hosts_keep_odd_characters(spark):
     rows = [("https://user:pw@Ex_ample.com:8080/p", "ex_ample.com"), ("//h.org/x", "h.org"), ("mailto:a@b.c", ""), ("https://[::1]:80/", "::1"), ("https://a.com./x", "a.com")]
     for r in spark.createDataFrame(rows, "u string, want string").select("want", L.hostname(F.col("u")).alias("got")).collect():
         assert r.got == r.want
+
+
+def test_near_duplicates_match_brute_force(spark, tmp_path):
+    """Copies, a large loose group of near-copies and unrelated texts."""
+    import math
+    from collections import Counter
+
+    from lurelens.operators import neardup as N
+
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for j in range(i % 4):
+            words[(i * 7 + j * 40) % 120] = f"x{i}_{j}"
+        texts[i] = " ".join(words)
+    texts[60], texts[61], texts[62], texts[63] = "Hello", "hello", "", "a b"
+    for i in range(64, 80):
+        texts[i] = " ".join(f"u{i}_{k}" for k in range(30))
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+
+    def vector(text):
+        w = text.lower().split()
+        return Counter(tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))) if w else Counter()
+
+    vectors = {i: vector(t) for i, t in texts.items()}
+
+    def cosine(a, b):
+        na, nb = (math.sqrt(sum(v * v for v in x.values())) for x in (a, b))
+        return sum(v * b[k] for k, v in a.items()) / (na * nb) if na and nb else 0
+
+    want = {b for b in texts if any(a < b and cosine(vectors[a], vectors[b]) >= 0.95 - 1e-9 for a in texts)}
+    got = {r.id for r in N.near_duplicates(df, str(tmp_path)).collect()}
+    assert got == want and 61 in got and len(want) > 20
