@@ -47,7 +47,7 @@ def fold(name: str, modulus: int) -> Column:
 #: ASCII letters to lower case, other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A space that may be part of a longer run of white space.
-_IN_RUN = re.compile(r" (?:\s|\Z)")
+IN_RUN = re.compile(r" (?:\s|\Z)")
 
 
 def lower_words(text: str) -> list[bytes]:
@@ -56,16 +56,23 @@ def lower_words(text: str) -> list[bytes]:
 
 
 class Cache(dict):
-    """Remembers what `make` returns for a key; starts anew when it has `most` entries, so memory is bounded."""
+    """Remembers what `make` returns for a key. When it holds `most` entries it sets them aside and starts anew, taking back those still asked for; at most twice as many are held."""
 
     def __init__(self, make: Callable, most: int = 300_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.aside = make, most, {}
+
+    def turn(self) -> None:
+        self.aside = dict(self)
+        self.clear()
 
     def __missing__(self, key):
         if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+            self.turn()
+        value = self.aside.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -79,14 +86,14 @@ class PieceEncoder:
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
         self.split = regex.compile(pattern).findall
-        self.pieces = Cache(encode, 700_000)
-        self.stretches = Cache(lambda s: self._whole(" " + s), 200_000)
+        self.pieces = Cache(encode, 400_000)
+        self.stretches = Cache(lambda s: self._whole(" " + s), 150_000)
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.pieces[p] for p in self.split(text)])
 
     def packed(self, text: str) -> bytes:
-        if _IN_RUN.search(text):
+        if IN_RUN.search(text):
             return self._whole(text)
         head, *rest = text.split(" ")
         return self._whole(head) + b"".join(map(self.stretches.__getitem__, rest))

@@ -18,38 +18,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurelens.llm.common import Cache, PieceEncoder, crc, text_of
+from lurelens.llm.common import IN_RUN, Cache, crc, text_of
 
 
 class LibraryEncoder:
-    """Packed ids by the tokenizers library. The stretches between single spaces are looked up; those not met before go to the library in one call."""
+    """Packed ids by the tokenizers library.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Texts are cut at single spaces and the stretches are looked up. Those not met before go to the library as one text, with
+    an empty line after each: that line is a piece of its own for the vocabulary's pattern, so its id marks where they end.
+    Stretches with white space at an end or empty lines, and texts with longer runs of white space, go one by one.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = Cache(lambda s: self._run([s])[0], most)
+        self.known = Cache(lambda s: self._run([" " + s])[0], most)
+        self.mark = self.library.encode("\n\n", add_special_tokens=False).ids
 
     def _run(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        joined = [s for s in new if s and s.strip() == s and "\n\n" not in s] if len(self.mark) == 1 else []
+        if joined:
+            ids = np.asarray(self.library.encode_batch_fast(["".join([f" {s}\n\n" for s in joined])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) == len(joined):
+                data, at = ids.tobytes(), 0
+                for s, end in zip(joined, (ends * 4).tolist()):
+                    self.known[s] = data[at:end]
+                    at = end + 4
+        rest = [s for s in new if s not in self.known]
+        self.known.update(zip(rest, self._run([" " + s for s in rest])))
+
     def packed(self, texts: list[str]) -> list[bytes]:
-        from lurelens.llm.common import _IN_RUN
-
-        out: list[bytes] = []
-        for text in texts:
-            if "<|" in text or _IN_RUN.search(text):
-                out.append(self._run([text])[0])
-                continue
-            head, *rest = text.split(" ")
-            new = list({s for s in rest if s not in self.known})
-            if len(new) + len(self.known) > self.known.most:
-                self.known.clear()
-                new = list(set(rest))
-            self.known.update(zip(new, self._run([" " + s for s in new])))
-            out.append((self._run([head])[0] if head else b"") + b"".join(map(self.known.__getitem__, rest)))
-        return out
+        whole = [t for t in texts if "<|" in t or IN_RUN.search(t)]
+        single = dict(zip(whole, self._run(whole)))
+        parts = [t.split(" ") for t in texts if t not in single]
+        words = {s for p in parts for s in p[1:]}
+        if len(words) + len(self.known) > self.known.most:
+            self.known.turn()
+        new = words.difference(self.known)
+        again = new.intersection(self.known.aside)
+        self.known.update((s, self.known.aside[s]) for s in again)
+        self._learn(list(new - again))
+        heads = iter(self._run([p[0] for p in parts]))
+        rest = iter(parts)
+        return [single[t] if t in single else next(heads) + b"".join(map(self.known.__getitem__, next(rest)[1:])) for t in texts]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -67,8 +84,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = _encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 packed = [p + end for p in own.packed(part.column(2).to_pylist())]
                 sizes = np.array([len(p) // 4 for p in packed])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
