@@ -211,17 +211,19 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 def leak_column(indexes: list[ItemIndex], text: Column) -> Column:
     """Array of leaked items of each text."""
-    columns = []
-    for index in indexes:
-        @F.pandas_udf(HIT)
-        def hits(batches: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield pd.Series([index.leaks(t) for t in texts], dtype="object")
-
-        columns.append(hits(text))
+    columns = [_hits(index)(text) for index in indexes]
     return F.concat(*columns) if columns else F.array().cast(HIT)
 
 
+def _hits(index: ItemIndex):
+    @F.pandas_udf(HIT)
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([index.leaks(t) for t in texts], dtype="object")
+
+    return hits
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row for each leaked item of a document."""
     found = docs.select("doc_id", F.explode(leak_column(shards(benchmark), text_of())).alias("h"))
