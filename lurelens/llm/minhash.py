@@ -6,10 +6,10 @@ and the similarity of a candidate pair is estimated from the count of equal cell
 chance; only pairs that could not reach the similarity (with a chance under MISS) are dropped. The others are confirmed on
 their full sets, and linked nodes form components.
 
-No pairs are made inside a group of copies: every node first meets the two outermost members of its buckets only, and the best
-of these by estimate is confirmed. Then buckets whose members still lie in different components are compared across
-components, all members of smaller components with all others, with size and estimate inside the join, so that only pairs
-which may be links leave it. A link of similarity s escapes all bands with a chance of (1 - s ** ROWS) ** BANDS, under
+No pairs are made inside a group of copies: in rounds over a few bands each, nodes outside the largest component of a bucket
+meet one member of it, two such pairs a node and round at most are confirmed, and components are joined. Buckets whose members
+then still lie in different components are compared member by member across components, with size and estimate inside the
+join, so that only pairs which may be links leave it. A link of similarity s escapes all bands with a chance of (1 - s ** ROWS) ** BANDS, under
 2e-10 at 0.8.
 
 Documents without words or text, and rows without an id, are linked with nothing; the latter get no component and are kept.
@@ -31,6 +31,8 @@ from lurelens.llm.common import Cache, lower_words, shared_folder, text_of, writ
 
 BANDS, ROWS, BITS = 32, 3, 2
 HASHES = BANDS * ROWS
+#: Bands whose buckets' heads are met, round by round, before buckets are compared member by member.
+ROUNDS = ((0, 4), (4, 14), (14, BANDS))
 MISS = 1e-9
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -198,7 +200,6 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
     linked = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     nodes = written(linked.groupBy("node").agg(F.min("id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", *packed, "bands")]), folder, "nodes")
     small = nodes.select("node", "n", *packed)
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
     least = least_equal(percent / 100)
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -208,29 +209,44 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
         equal = equal_cells([F.col(f"{c}_a") for c in packed], [F.col(f"{c}_b") for c in packed])
         return pairs.withColumn("equal", equal).filter((F.col("equal") >= least) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
 
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("held > 1")
-    shared = written(members.join(buckets, "bucket").select("bucket", "node", "lo", "hi"), folder, "shared")  # members of buckets of two nodes or more
-    outer = shared.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct()
-    best = compared(outer).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("x"), F.min("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
-    first = written(confirmed(written(best, folder, "best"), nodes, docs, k, percent, folder, "first", id_col, text_col), folder, "first")
-    roots = components(first, folder, "first")
-
-    placed = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed.join(small, "node"), folder, "placed")
-    by_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("held"))
-    mixed = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("held", "root")).alias("main")).filter("roots > 1").select("bucket", "main")
-    across = written(placed.join(mixed, "bucket"), folder, "across")
-    a = across.filter("root <> main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", *packed)])
-    b = across.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "main", "n", *packed)])
+    def placed(roots: DataFrame | None, begin: int, end: int) -> DataFrame:
+        """bucket, node, root and size and signature of all nodes, for bands begin to end - 1."""
+        out = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return out.select("node", "root", "n", *packed, F.explode(F.slice("bands", begin + 1, end - begin)).alias("bucket"))
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Buckets with several components: the largest of them there, and its smallest node there."""
+        by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("held"), F.min("node").alias("head"))
+        main = F.max_by(F.struct("root", "head"), F.struct("held", "root")).alias("m")
+        return by_root.groupBy("bucket").agg(F.count("*").alias("roots"), main).filter("roots > 1").select(F.col("bucket").alias("in_bucket"), F.col("m.root").alias("main"), F.col("m.head").alias("head"))
+
+    edges, roots = None, None
+    for begin, end in ROUNDS:  # nodes outside a bucket's largest component meet that component's head
+        members = placed(roots, begin, end).select("bucket", "node", "root")
+        inside = mixed(members)
+        met = members.join(inside, (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main"))).groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"))
+        best = met.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("x"), F.min("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+        best = written(compared(best), folder, f"best-{begin}")
+        if best.isEmpty():
+            continue
+        found = written(confirmed(best, nodes, docs, k, percent, folder, f"heads-{begin}", id_col, text_col), folder, f"edges-{begin}")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges, folder, f"heads-{begin}")
+
+    members = placed(roots, 0, BANDS)  # what is still apart is compared member by member
+    outside = members.join(mixed(members.select("bucket", "node", "root")), (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main")))
+    a = outside.select(F.col("bucket").alias("bucket_a"), "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", *packed)])
+    b = members.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", *packed)])
     equal = equal_cells([F.col(f"{c}_a") for c in packed], [F.col(f"{c}_b") for c in packed])
-    may = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (equal >= least)
-    a, b = (x.withColumnRenamed("bucket", f"bucket_{y}") for x, y in ((a, "a"), (b, "b")))
+    may = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (equal >= least)
     rest = a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     rest = written(rest, folder, "rest")
     if not rest.isEmpty():
-        second = confirmed(rest, nodes, docs, k, percent, folder, "second", id_col, text_col)
-        roots = components(first.unionByName(second), folder, "second")
+        found = confirmed(rest, nodes, docs, k, percent, folder, "rest", id_col, text_col)
+        roots = components(found if edges is None else edges.unionByName(found), folder, "rest")
 
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).filter("false")
     whole = nodes.select("node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("first_doc").alias("lowest"))
     named = whole.join(lowest, "root").select(F.col("node").alias("own"), "lowest")
