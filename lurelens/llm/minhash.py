@@ -199,6 +199,9 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
     packed = [f"s{i}" for i in range(WORDS)]
     linked = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     nodes = written(linked.groupBy("node").agg(F.min("id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", *packed, "bands")]), folder, "nodes")
+    every = nodes.select("node", F.explode("bands").alias("bucket"))
+    weights = every.join(every.groupBy("bucket").agg(F.count("*").alias("held")), "bucket").groupBy("node").agg(F.sum("held").alias("weight"))
+    nodes = written(nodes.join(weights, "node"), folder, "weighted")  # what copies were made from shares the most buckets with them
     small = nodes.select("node", "n", *packed)
     least = least_equal(percent / 100)
 
@@ -212,20 +215,20 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
     def placed(roots: DataFrame | None, begin: int, end: int) -> DataFrame:
         """bucket, node, root and size and signature of all nodes, for bands begin to end - 1."""
         out = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return out.select("node", "root", "n", *packed, F.explode(F.slice("bands", begin + 1, end - begin)).alias("bucket"))
+        return out.select("node", "root", "weight", "n", *packed, F.explode(F.slice("bands", begin + 1, end - begin)).alias("bucket"))
 
     def mixed(members: DataFrame) -> DataFrame:
-        """Buckets with several components: the largest of them there, and its smallest node there."""
-        by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("held"), F.min("node").alias("head"))
-        main = F.max_by(F.struct("root", "head"), F.struct("held", "root")).alias("m")
-        return by_root.groupBy("bucket").agg(F.count("*").alias("roots"), main).filter("roots > 1").select(F.col("bucket").alias("in_bucket"), F.col("m.root").alias("main"), F.col("m.head").alias("head"))
+        """Buckets with several components: the largest of them there, and its node of most weight there."""
+        by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("held"), F.max(F.struct("weight", "node")).alias("head"))
+        main = F.max_by(F.struct("root", "head"), F.struct("held", "head")).alias("m")
+        return by_root.groupBy("bucket").agg(F.count("*").alias("roots"), main).filter("roots > 1").select(F.col("bucket").alias("in_bucket"), F.col("m.root").alias("main"), F.col("m.head.node").alias("head"), F.col("m.head.weight").alias("head_weight"))
 
     edges, roots = None, None
     for begin, end in ROUNDS:  # nodes outside a bucket's largest component meet that component's head
-        members = placed(roots, begin, end).select("bucket", "node", "root")
+        members = placed(roots, begin, end).select("bucket", "node", "root", "weight")
         inside = mixed(members)
-        met = members.join(inside, (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main"))).groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"))
-        best = met.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("x"), F.min("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+        met = members.join(inside, (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main"))).groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"), F.max("head_weight").alias("weight"))
+        best = met.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("x"), F.max_by("b", F.struct("weight", "b")).alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
         best = written(compared(best), folder, f"best-{begin}")
         if best.isEmpty():
             continue
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
         roots = components(edges, folder, f"heads-{begin}")
 
     members = placed(roots, 0, BANDS)  # what is still apart is compared member by member
-    outside = members.join(mixed(members.select("bucket", "node", "root")), (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main")))
+    outside = members.join(mixed(members.select("bucket", "node", "root", "weight")), (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main")))
     a = outside.select(F.col("bucket").alias("bucket_a"), "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", *packed)])
     b = members.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", *packed)])
     equal = equal_cells([F.col(f"{c}_a") for c in packed], [F.col(f"{c}_b") for c in packed])
