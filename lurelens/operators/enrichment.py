@@ -6,7 +6,7 @@ a third of all URLs) is spread over salts: the snapshot side, one row per key, i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurelens.functions import links as L
@@ -269,34 +269,27 @@ def blocklist_hits(urls: DataFrame, blocklist: DataFrame) -> DataFrame:
     return left_on_key(urls, listed.withColumn("listed", F.lit(1)), "url")
 
 
-def cached_as_of(requests: DataFrame, observations: DataFrame, ttl_days: int = 1) -> DataFrame:
-    """Newest observation at or before each request, if its age is within its time to live
-    (24 h when completed, else 1 h).
+def cached_as_of(requests: DataFrame, observations: DataFrame) -> DataFrame:
+    """Newest observation at or before each request, whatever its age: a hit within its time to live (24 h when
+    completed, else 1 h), expired after that, a miss where the key was never seen before.
 
-    Both sides are cut into days, and an observation is filed under its day and the next ones it
-    can reach, so the join is an equi-join on (key, day) and never pairs a request with the whole
-    history of a key.
+    Requests and observations of a key are one sorted run, in which each request takes the last observation. Runs are
+    cut by the hour; the newest observation of all earlier hours of the key opens each hour, so a hot key spreads over
+    its hours and only one row a key and hour meets in the ordering of hours.
     """
-    obs = observations.withColumn(
-        "_day",
-        F.explode(F.array(*[F.date_add(F.to_date("observed_at"), i) for i in range(ttl_days + 1)])),
-    )
-    asked = requests.withColumn("_day", F.to_date("ts")).withColumn("key", F.lower("url"))
-    o = obs.select(
-        F.col("key"), "_day", F.struct("observed_at", "status", "malicious", "suspicious").alias("o")
-    )
-    pairs = left_on_day(asked, o)
-    newest = pairs.groupBy("id", "pos", "url", "ts").agg(F.max_by("o", "o.observed_at").alias("o"))
-    hours = F.when(F.col("o.status") == "completed", 24).otherwise(1)
-    valid = F.col("o.observed_at") + F.make_dt_interval(hours=hours) >= F.col("ts")
+    o = F.struct("observed_at", "status", "malicious", "suspicious")
+    asked = requests.select(F.lower("url").alias("key"), F.col("ts").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast(
+        observations.select(o.alias("o")).schema["o"].dataType).alias("o"), "id", "pos", "url", "ts")
+    seen = observations.select("key", F.col("observed_at").alias("at"), F.lit(1).alias("kind"), o.alias("o"))
+    rows = asked.unionByName(seen, allowMissingColumns=True).withColumn("hour", F.date_trunc("hour", "at"))
+    hours = rows.groupBy("key", "hour").agg(F.max_by("o", F.when(F.col("o").isNotNull(), F.col("at"))).alias("newest"))
+    before = Window.partitionBy("key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    opened = hours.select("key", "hour", F.col("hour").alias("at"), F.lit(0).alias("kind"), F.last("newest", ignorenulls=True).over(before).alias("o"))
+    upto = Window.partitionBy("key", "hour").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = rows.unionByName(opened, allowMissingColumns=True).withColumn("o", F.last("o", ignorenulls=True).over(upto)).filter("kind = 2")
+    hours_valid = F.when(F.col("o.status") == "completed", 24).otherwise(1)
+    valid = F.col("o.observed_at") + F.make_dt_interval(hours=hours_valid) >= F.col("ts")
     return newest.select(
         "id", "pos", "url", F.when(F.col("o").isNull(), "miss").when(valid, "hit").otherwise("expired").alias("cache"),
         F.when(valid, F.col("o.malicious")).alias("malicious"),
     )
-
-
-def left_on_day(asked: DataFrame, obs: DataFrame, salts: int = SALTS) -> DataFrame:
-    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    copies = obs.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    matched = salted.join(copies, ["key", "_day", "_salt"], "left")
-    return matched.withColumn("o", F.when(F.col("o.observed_at") <= F.col("ts"), F.col("o")))

@@ -81,9 +81,9 @@ _MORE = f"SELECT DISTINCT b FROM (SELECT {s.base('d', 'analyzer')} AS b FROM x U
 def _with_typos(spark, sf):
     """Corpus domains plus derived misspellings: swapped first letter, digits in trusted names."""
     own = corpus_domains(spark, sf)
-    swapped = own.select(F.concat(F.lit("g"), F.substring("domain", 2, 1000)).alias("domain"))
+    swapped = own.select(F.concat(F.lit("g"), F.expr("substr(domain, 2)")).alias("domain"))
     names = F.array(*[F.lit(b.replace("l", "1").replace("o", "0")) for b in rules.TRUSTED_DOMAINS])
-    return own.unionByName(swapped).unionByName(own.agg(F.count("*")).select(F.explode(names).alias("domain")))
+    return own.unionByName(swapped).unionByName(spark.range(1).select(F.explode(names).alias("domain")))
 
 
 @query("lookalike_candidates", s.sql("SELECT b AS base, t.base AS brand, CAST(levenshtein(b, t.base) AS INT) AS distance FROM m JOIN trusted t ON b <> t.base AND levenshtein(b, t.base) < 2.00000001e-1 * (length(b) + length(t.base))", "email_urls", "trusted", x=ALL_DOMAINS, m=_MORE.replace("SELECT replace(replace(t.base, 'l', '1'), 'o', '0') FROM trusted t", f"SELECT {s.base('r', 'analyzer')} FROM (SELECT replace(replace(t.base, 'l', '1'), 'o', '0') AS r FROM trusted t)")))

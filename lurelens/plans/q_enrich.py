@@ -157,7 +157,7 @@ def mails_without_listed_urls(spark, sf):
 SELECT id, CAST(pos AS INT) AS pos, CASE WHEN seen IS NULL THEN 'miss' WHEN ok THEN 'hit' ELSE 'expired' END AS cache, CASE WHEN ok THEN mal END AS malicious FROM (
  SELECT *, seen + CASE WHEN st = 'completed' THEN INTERVAL 24 HOURS ELSE INTERVAL 1 HOUR END >= ts AS ok FROM (
   SELECT q.id, q.pos, q.ts, max(r.observed_at) AS seen, arg_max(r.status, r.observed_at) AS st, arg_max(r.malicious, r.observed_at) AS mal
-  FROM q LEFT JOIN reputation r ON r.kind = 'url' AND r.key = lower(q.url) AND r.observed_at <= q.ts AND CAST(r.observed_at AS DATE) >= CAST(q.ts AS DATE) - 1 GROUP BY ALL))""",
+  FROM q LEFT JOIN reputation r ON r.kind = 'url' AND r.key = lower(q.url) AND r.observed_at <= q.ts GROUP BY ALL))""",
     "email_urls", "reputation", q="SELECT u.id, u.pos, u.url, e.ts FROM email_urls u JOIN emails e ON e.id = u.id"))
 def cached_reputation_as_of(spark, sf):
     asked = fx.emails(spark, sf, urls=True, ts=True, text=False).select("id", "ts", F.posexplode("urls").alias("pos", "url"))

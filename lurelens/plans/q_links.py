@@ -206,9 +206,9 @@ SELECT id, CAST(pos AS INT) AS pos, {_FD} AS domain, {s.flag(s.any_in(_FD, rules
  CASE WHEN rr > 5e-1 THEN 'Reputation service flagged as malicious' WHEN {_FHID} THEN 'Shortened/IP-based URL hides true destination'
   WHEN {_FKW} THEN 'URL contains suspicious keywords (login/verify/account)' ELSE 'No obvious URL red-flags detected' END AS reason
 FROM (SELECT e.*, least(1e0, 2e0 * (r.malicious + 5e-1 * r.suspicious) / (r.malicious + r.suspicious + r.harmless + r.undetected)) AS rr
- FROM email_urls e LEFT JOIN r ON r.key = lower(e.url) WHERE e.pos < 10)""", "email_urls", "reputation", r=LATEST_URL_REP.format(kind="url")))
+ FROM email_urls e LEFT JOIN r ON r.key = lower(e.url))""", "email_urls", "reputation", r=LATEST_URL_REP.format(kind="url")))
 def url_risk_ladder(spark, sf):
-    rows = fx.email_urls(spark, sf).filter(F.col("pos") < 10)
+    rows = fx.email_urls(spark, sf)
     rep = J.latest_reputation(fx.reputation(spark, sf, "url"))
     scored = J.left_on_key(rows.withColumn("key", F.lower("url")), rep, "key")
     return U.with_columns(scored, U.forensic_risk(F.col("url"), J.reputation_risk())).select("id", "pos", "domain", "is_shortened", "risk", "reason")

@@ -41,6 +41,11 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one the cluster names; a local one only where none is set."""
+    """A fresh folder below the shared one the cluster names. Only a local session may go without it: elsewhere every
+    executor would write to a disk of its own."""
     shared = checkpoint_dir(spark)
-    return f"{shared.rstrip('/')}/lurelens-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="lurelens-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="lurelens-")
+    return f"{shared.rstrip('/')}/lurelens-{uuid.uuid4()}"

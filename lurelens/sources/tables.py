@@ -53,16 +53,16 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def read_raw_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_raw_messages(spark: SparkSession, path: str) -> DataFrame:
     """(file, message) CSV; every mail is legitimate."""
     rows = _csv(spark, path, "file string, message string")
-    return adapt_raw(rows.limit(limit) if limit else rows, blank("message"), F.lit(0))
+    return adapt_raw(rows, blank("message"), F.lit(0))
 
 
-def read_raw_labelled(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_raw_labelled(spark: SparkSession, path: str) -> DataFrame:
     """(text, target) CSV."""
     rows = _csv(spark, path, "text string, target int")
-    return adapt_raw(rows.limit(limit) if limit else rows, blank("text"), F.coalesce("target", F.lit(0)))
+    return adapt_raw(rows, blank("text"), F.coalesce("target", F.lit(0)))
 
 
 def read_unified(spark: SparkSession, path: str) -> DataFrame:
