@@ -29,6 +29,18 @@ def test_eml_folder(spark, tmp_path):
     assert r.headers["x-twice"] == "first" and "12 Mar 2024" in r.timestamp
 
 
+def test_bad_bytes_and_reply_to(spark, tmp_path):
+    (tmp_path / "latin.eml").write_bytes(b"From: a@b.c\nReply-To: r@s.t\nSubject: caf\xe9 news\n\ncaf\xe9 body\n")
+    (tmp_path / "good.eml").write_text(EML)
+    mails, bad = M.read_messages(spark, str(tmp_path))
+    rows = {r.from_email: r for r in mails.collect()}
+    assert bad.count() == 0 and len(rows) == 2
+    assert rows["a@b.c"].body == "caf body\n" and rows["a@b.c"].reply_to == "r@s.t"
+    (tmp_path / "m.jsonl").write_text(json.dumps({"id": "1", "sender_email": "a@b.c", "reply_to": "d@e.f"}) + "\n")
+    good, _ = M.read_json_lines(spark, str(tmp_path / "m.jsonl"))
+    assert [(r.from_email, r.reply_to) for r in good.collect()] == [("a@b.c", "d@e.f")]
+
+
 def test_multipart_and_html_only(spark):
     multi = 'From: a@b.c\nContent-Type: multipart/mixed; boundary="x"\n\n--x\nContent-Type: text/plain\n\nhello\n--x\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="f.pdf"\n\nabcd\n--x--\n'
     html = 'From: a@b.c\nContent-Type: multipart/alternative; boundary="x"\n\n--x\nContent-Type: text/html\n\n<p>hi</p>\n--x--\n'

@@ -54,3 +54,11 @@ def test_mail_stream_is_scored(spark, tmp_path):
     rows, _ = S.run_available(scored, str(tmp_path / "work"))
     assert [(r.id, r.risk_level) for r in rows.collect()] == [("1", "CRITICAL")]
     assert S.alerts(rows).count() == 1
+
+
+def test_bad_lines_are_kept_as_a_stream(spark, tmp_path):
+    src = tmp_path / "lines"
+    src.mkdir()
+    (src / "a.jsonl").write_text('{"id": "1"}\n{broken\n')
+    bad, _ = S.run_available(M.stream_json_quarantine(spark, str(src)), str(tmp_path / "work"))
+    assert [r.value for r in bad.collect()] == ["{broken"]
