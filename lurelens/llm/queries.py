@@ -107,8 +107,8 @@ s AS (
 ),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
 g AS (SELECT doc_id, unnest(sh) AS g FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, w.b FROM r JOIN both_ways w ON r.b = w.a),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
