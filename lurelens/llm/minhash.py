@@ -6,6 +6,10 @@ and the similarity of a candidate pair is estimated from the count of equal cell
 chance; only pairs that could not reach the similarity (with a chance under MISS) are dropped. The others are confirmed on
 their full sets, and linked nodes form components.
 
+Beside its signature a node carries the parities of its shingles in ODD bins. A bin whose parities differ holds a shingle of
+only one of the two sets, so bit counts bound the difference of the sets from below; a pair beyond what the similarity allows
+is dropped without loss, before any full set moves.
+
 No pairs are made inside a group of copies: in rounds over a few bands each, nodes outside the largest component of a bucket
 meet one member of it, two such pairs a node and round at most are confirmed, and components are joined. Buckets whose members
 then still lie in different components are compared member by member across components, with size and estimate inside the
@@ -32,7 +36,9 @@ from lurelens.llm.common import Cache, lower_words, shared_folder, text_of, writ
 BANDS, ROWS, BITS = 32, 3, 2
 HASHES = BANDS * ROWS
 #: Bands whose buckets' heads are met, round by round, before buckets are compared member by member.
-ROUNDS = ((0, 4), (4, 14), (14, BANDS))
+ROUNDS = ((0, 6), (6, BANDS))
+#: Bins of the parity sketch.
+ODD = 512
 MISS = 1e-9
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -86,6 +92,12 @@ def bands_and_bits(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, packed
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each bin of the set holds an odd number of shingles, packed into 64-bit words."""
+    odd = (np.bincount((shingles % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
 def least_equal(similarity: float) -> int:
     """Fewest equal cells that a pair of that similarity shows but for a chance under MISS."""
     p = 2.0 ** -BITS + (1 - 2.0 ** -BITS) * similarity
@@ -111,18 +123,27 @@ def equal_cells(a: list[Column], b: list[Column]) -> Column:
     return out
 
 
+def differing(a: list[Column], b: list[Column]) -> Column:
+    """Bins whose parities differ: at most the shingles that only one of both sets holds."""
+    out = F.lit(0)
+    for x, y in zip(a, b):
+        out = out + F.bit_count(x.bitwiseXOR(y))
+    return out
+
+
 def estimated(equal: Column) -> Column:
     """Similarity from the share of equal cells, less what chance makes equal."""
     chance = 2.0 ** -BITS
     return (equal / HASHES - chance) / (1 - chance)
 
 
-WORDS = HASHES * BITS // 64
-SIGNED = "id long, node long, n long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", bands array<long>"
+WORDS, ODDS = HASHES * BITS // 64, ODD // 64
+PACKED, SKETCH = [f"s{i}" for i in range(WORDS)], [f"p{i}" for i in range(ODDS)]
+SIGNED = "id long, node long, n long, " + ", ".join(f"{c} long" for c in PACKED + SKETCH) + ", bands array<long>"
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, node (names the set; null for empty sets), n (size of the set), packed signature, band keys."""
+    """id, node (names the set; null for empty sets), n (size of the set), packed signature, parity sketch, band keys."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,13 +152,15 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
                 low = np.array([minima(s) for s in sets], dtype=np.uint32)
                 keys, packed = bands_and_bits(low)
+                odd = np.array([parities(s) for s in sets])
                 empty = np.array([not len(s) for s in sets])
                 node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 ends = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(node, mask=empty), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(packed[:, i].view(np.int64)) for i in range(WORDS)],
+                     *[pa.array(odd[:, i].view(np.int64)) for i in range(ODDS)],
                      pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))],
-                    ["id", "node", "n", *[f"s{i}" for i in range(WORDS)], "bands"])
+                    ["id", "node", "n", *PACKED, *SKETCH, "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(signed, SIGNED)
 
@@ -168,9 +191,9 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return roots
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, folder: str, name: str, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full sets are similar enough, as (a, b)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_doc"), "node").withColumnRenamed("first_doc", "id")
+def full_sets(nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles (the whole set) of the nodes, each from the text of its first document."""
+    wanted = nodes.select("node", F.col("first_doc").alias("id"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,37 +208,50 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
                 yield pa.RecordBatch.from_arrays([pa.array(own[right]), pa.ListArray.from_arrays(ends, pa.array(values))], ["node", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(wanted, "id").select("node", "text")
-    sets = written(texts.mapInArrow(rebuilt, "node long, shingles array<long>").dropDuplicates(["node"]), folder, f"{name}-sets")
+    return texts.mapInArrow(rebuilt, "node long, shingles array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full sets are similar enough, as (a, b). Nodes of rows that repeat an id may have their set twice."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     return joined.filter(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
+def may_link(percent: int) -> Column:
+    """Whether sizes, parities and estimate of n_a, n_b, s*_a, ... allow a link. Sizes and parities are bounds; the estimate errs with a chance under MISS."""
+    side = lambda names, x: [F.col(f"{c}_{x}") for c in names]
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    apart = (100 + percent) * differing(side(SKETCH, "a"), side(SKETCH, "b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return sizes & (equal_cells(side(PACKED, "a"), side(PACKED, "b")) >= least_equal(percent / 100)) & apart
+
+
 def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (whether the document is that one), one row a document."""
     folder = folder or shared_folder(docs.sparkSession)
     signed = written(signatures(docs, k, id_col, text_col), folder, "signatures")
-    packed = [f"s{i}" for i in range(WORDS)]
+    kinds = ["n", *PACKED, *SKETCH]
     linked = signed.filter("node IS NOT NULL AND id IS NOT NULL")
-    nodes = written(linked.groupBy("node").agg(F.min("id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", *packed, "bands")]), folder, "nodes")
-    every = nodes.select("node", F.explode("bands").alias("bucket"))
-    weights = every.join(every.groupBy("bucket").agg(F.count("*").alias("held")), "bucket").groupBy("node").agg(F.sum("held").alias("weight"))
-    nodes = written(nodes.join(weights, "node"), folder, "weighted")  # what copies were made from shares the most buckets with them
-    small = nodes.select("node", "n", *packed)
-    least = least_equal(percent / 100)
+    nodes = written(linked.groupBy("node").agg(F.min("id").alias("first_doc"), *[F.first(c).alias(c) for c in (*kinds, "bands")]), folder, "nodes")
+    every = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    held = every.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1").withColumnRenamed("bucket", "in_bucket")
+    shared = written(every.join(held, F.col("bucket") == F.col("in_bucket")).select("bucket", F.col("band").cast("byte").alias("band"), "node", "held"), folder, "shared")
+    weights = shared.groupBy("node").agg(F.sum("held").alias("weight"))  # what copies were made from shares the most buckets with them
+    near = written(nodes.join(weights, "node").select("node", "first_doc", "weight", *kinds), folder, "near")
+    small = near.select("node", *kinds)
+    sets = written(full_sets(near, docs, k, id_col, text_col), folder, "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with equal cells, where sizes and estimate allow a link."""
+        """Pairs (a, b) where sizes, parities and estimate allow a link."""
         for x in "ab":
-            pairs = pairs.join(small.withColumnsRenamed({c: f"{c}_{x}" for c in ("n", *packed)} | {"node": x}), x)
-        equal = equal_cells([F.col(f"{c}_a") for c in packed], [F.col(f"{c}_b") for c in packed])
-        return pairs.withColumn("equal", equal).filter((F.col("equal") >= least) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+            pairs = pairs.join(small.withColumnsRenamed({c: f"{c}_{x}" for c in kinds} | {"node": x}), x)
+        return pairs.filter(may_link(percent)).select("a", "b")
 
     def placed(roots: DataFrame | None, begin: int, end: int) -> DataFrame:
-        """bucket, node, root and size and signature of all nodes, for bands begin to end - 1."""
-        out = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return out.select("node", "root", "weight", "n", *packed, F.explode(F.slice("bands", begin + 1, end - begin)).alias("bucket"))
+        """bucket, node, weight, root of all nodes that share buckets, for bands begin to end - 1."""
+        own = near.select("node", "weight")
+        own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return shared.filter((F.col("band") >= begin) & (F.col("band") < end)).select("bucket", "node").join(own, "node")
 
     def mixed(members: DataFrame) -> DataFrame:
         """Buckets with several components: the largest of them there, and its node of most weight there."""
@@ -225,27 +261,27 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
 
     edges, roots = None, None
     for begin, end in ROUNDS:  # nodes outside a bucket's largest component meet that component's head
-        members = placed(roots, begin, end).select("bucket", "node", "root", "weight")
+        members = placed(roots, begin, end)
         inside = mixed(members)
         met = members.join(inside, (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main"))).groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("bands"), F.max("head_weight").alias("weight"))
         best = met.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("x"), F.max_by("b", F.struct("weight", "b")).alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
         best = written(compared(best), folder, f"best-{begin}")
         if best.isEmpty():
             continue
-        found = written(confirmed(best, nodes, docs, k, percent, folder, f"heads-{begin}", id_col, text_col), folder, f"edges-{begin}")
+        found = written(confirmed(best, sets, percent), folder, f"edges-{begin}")
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges, folder, f"heads-{begin}")
 
     members = placed(roots, 0, BANDS)  # what is still apart is compared member by member
-    outside = members.join(mixed(members.select("bucket", "node", "root", "weight")), (F.col("bucket") == F.col("in_bucket")) & (F.col("root") != F.col("main")))
-    a = outside.select(F.col("bucket").alias("bucket_a"), "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", *packed)])
-    b = members.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", *packed)])
-    equal = equal_cells([F.col(f"{c}_a") for c in packed], [F.col(f"{c}_b") for c in packed])
-    may = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (equal >= least)
-    rest = a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    apart = members.join(mixed(members), F.col("bucket") == F.col("in_bucket")).select("bucket", "node", "root", "main")
+    apart = written(apart.join(small, "node"), folder, "apart")
+    a = apart.filter("root <> main").select(F.col("bucket").alias("bucket_a"), "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", *kinds)])
+    b = apart.select(F.col("bucket").alias("bucket_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", *kinds)])
+    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+    rest = a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & once & may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     rest = written(rest, folder, "rest")
     if not rest.isEmpty():
-        found = confirmed(rest, nodes, docs, k, percent, folder, "rest", id_col, text_col)
+        found = confirmed(rest, sets, percent)
         roots = components(found if edges is None else edges.unionByName(found), folder, "rest")
 
     if roots is None:
