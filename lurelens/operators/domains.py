@@ -78,7 +78,8 @@ def cross_check(df: DataFrame) -> DataFrame:
             D.sender_domain(blank("from_email"), "last").alias("sender_domain"),
             D.sender_domain(blank("reply_to"), "last").alias("reply_to_domain"),
             url_domains().alias("url_domains"),
-        )
+        ),
+        names,
     )
     out = sealed(
         out.select(
@@ -86,7 +87,8 @@ def cross_check(df: DataFrame) -> DataFrame:
             D.base_domain(F.col("sender_domain")).alias("sender_base"),
             D.base_domain(F.col("reply_to_domain")).alias("reply_base"),
             F.transform("url_domains", lambda d: F.struct(d.alias("domain"), D.base_domain(d).alias("base"))).alias("hosts"),
-        )
+        ),
+        names,
     )
     sender = F.col("sender_domain") != ""
     mismatched = F.transform(
@@ -122,7 +124,8 @@ def trust_score(df: DataFrame) -> DataFrame:
                 faked(F.col("sender_domain"), F.col("sender_base")),
                 F.flatten(F.transform("hosts", lambda h: faked(h.domain, h.base))),
             ).alias("impersonations"),
-        ).drop("hosts")
+        ).drop("hosts"),
+        df.columns,
     )
     trusted = D.is_trusted(F.col("sender_trust"))
     match_type = F.col("sender_trust.match_type")

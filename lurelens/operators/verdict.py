@@ -193,7 +193,7 @@ def full_verdict(df: DataFrame) -> DataFrame:
     bonus = (F.col("trust_score") > 0.3) & ~faked
     relief = F.when(bonus, F.least(F.lit(0.15), F.col("trust_score") * F.lit(0.25))).otherwise(0.0)
     raised = F.greatest(F.lit(0.0), h - relief) + F.when(faked, 0.2).otherwise(0.0)
-    rows = sealed(rows.withColumn("probability", F.least(F.lit(1.0), raised)))
+    rows = sealed(rows.withColumn("probability", F.least(F.lit(1.0), raised)), [c for c in ("id",) if c in df.columns])
     p = F.col("probability")
     phishing = faked | (p >= 0.5)
     level = F.when(faked, "CRITICAL").otherwise(ladder(p, "operational"))

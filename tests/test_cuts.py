@@ -3,8 +3,10 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from lurelens.operators import enrichment
+from lurelens.functions.stages import unpacked
+from lurelens.operators import domains, enrichment
 from lurelens.session import work_folder
 
 
@@ -22,3 +24,12 @@ def test_work_folder_needs_a_shared_path_on_a_cluster(spark):
         work_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
     shared = SimpleNamespace(get=lambda key, default=None: "/shared/")
     assert work_folder(SimpleNamespace(conf=shared)).startswith("/shared/lurelens-")
+
+
+def test_filters_on_ids_pass_the_seals(spark, tmp_path):
+    spark.sql("SELECT 5L AS id, 'a@b.com' AS from_email, 'c@d.com' AS reply_to, array('http://x.org/') AS urls").write.parquet(str(tmp_path / "mails"))
+    mails = spark.read.parquet(str(tmp_path / "mails"))
+    for rows in (unpacked(mails, ["id"], F.col("urls"), "pos", "url"), domains.trust_score(mails)):
+        plan = rows.filter("id = 5")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(id,5)" in plan.split("PushedFilters:")[1].split("]")[0]
+        assert rows.filter("id = 5").count() == 1 and rows.filter("id = 6").count() == 0
