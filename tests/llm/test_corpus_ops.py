@@ -154,3 +154,12 @@ def test_pipeline_stages(spark, sf):
     final = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert final.count() == before.count() and "ids" in final.columns
     assert [r.doc_id for r in before.orderBy("doc_id").select("doc_id").collect()] == [r.doc_id for r in final.orderBy("doc_id").select("doc_id").collect()]
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(3)
+    for size, changed in ((1, 1), (40, 7), (900, 150), (5000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+        differ = int(np.bitwise_count(minhash.parities(a) ^ minhash.parities(b)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and not (minhash.parities(a) ^ minhash.parities(a)).any()
