@@ -101,6 +101,21 @@ def test_language_model(spark, sf):
     want = sorted((d, zlib.crc32(str(d).encode()) % 7 == 2, len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 4)) for d, ws in texts)
     assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    model, kept = lm.train(docs, path, pattern)
+    subwords, total = lm.Subwords(path, pattern), n + v + 1
+    vocabulary = spark.createDataFrame([(lm._hash(w), c) for w, c in counts.items()], "h long, c long")
+    weight = lm.count_weight(model, subwords, kept, vocabulary, total)
+    assert 0.01 <= weight <= 0.99
+
+    def mixed(words):
+        ids = [[subwords.end] if w == lm.END_WORD else subwords.of(w) for w in words]
+        by_id = iter(model.log_probabilities(np.array([i for own in ids for i in own]), np.array([sum(map(len, ids))])))
+        chances = [sum(next(by_id) for _ in own) for own in ids]
+        return sum(math.log10((1 - weight) * 10 ** p + weight * (counts[w] + 1) / total) if w in counts else p + math.log10(1 - weight) for w, p in zip(words, chances))
+
+    for (a, b), (c, d) in zip(sorted((r.doc_id, r.score) for r in got), sorted((d, mixed(ws)) for d, ws in texts)):
+        assert a == c and b == pytest.approx(d, abs=0.02, rel=1e-4)
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
 def test_each_id_is_scored_once_whatever_the_batch():
