@@ -104,18 +104,36 @@ def test_language_model(spark, sf):
     model, kept = lm.train(docs, path, pattern)
     subwords, total = lm.Subwords(path, pattern), n + v + 1
     vocabulary = spark.createDataFrame([(lm._hash(w), c) for w, c in counts.items()], "h long, c long")
-    weight = lm.count_weight(model, subwords, kept, vocabulary, total)
-    assert 0.01 <= weight <= 0.99
+    by_model, by_counts, by_before = lm.mix_weights(model, subwords, kept, vocabulary, total)
+    assert by_model + by_counts + by_before == pytest.approx(1)
 
     def mixed(words):
         ids = [[subwords.end] if w == lm.END_WORD else subwords.of(w) for w in words]
         by_id = iter(model.log_probabilities(np.array([i for own in ids for i in own]), np.array([sum(map(len, ids))])))
         chances = [sum(next(by_id) for _ in own) for own in ids]
-        return sum(math.log10((1 - weight) * 10 ** p + weight * (counts[w] + 1) / total) if w in counts else p + math.log10(1 - weight) for w, p in zip(words, chances))
+        out, before = 0.0, Counter()
+        for i, (w, p) in enumerate(zip(words, chances)):
+            rest = by_before * before[w] / max(1, i) + (by_counts * (counts[w] + 1) / total if w in counts else 0)
+            out += math.log10(by_model * 10 ** p + rest) if rest or p > -300 else p + math.log10(by_model)
+            before[w] += 1
+        return out
 
     for (a, b), (c, d) in zip(sorted((r.doc_id, r.score) for r in got), sorted((d, mixed(ws)) for d, ws in texts)):
         assert a == c and b == pytest.approx(d, abs=0.02, rel=1e-4)
-    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_language_model_learns_what_follows_what(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("bcdfgklmnprst", k=4)) for _ in range(80)]
+    after = {w: rng.sample(words, 3) for w in words}
+    rows = []
+    for d in range(400):
+        own = [rng.choice(words)]
+        while len(own) < 60:
+            own.append(rng.choice(after[own[-1]]))
+        rows.append((d, " ".join(own)))
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), *queries.tokenizer("byte_bpe_50k.tiktoken"), shared_folder(spark)).filter("held_out").collect()
+    assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)  # both are below 0
 
 
 def test_each_id_is_scored_once_whatever_the_batch():
