@@ -299,16 +299,12 @@ def merged_summary(df: DataFrame, variant: str = "web") -> DataFrame:
 
 
 def inventory(urls: DataFrame, dns: DataFrame) -> DataFrame:
-    """Corpus totals. ``urls``: (url, domain, mail_shortened); ``dns``: (domain, resolves)."""
-    joined = urls.join(dns, "domain", "left")
+    """Corpus totals. ``urls``: (url, domain, mail_shortened); ``dns``: (domain, resolves), one row a domain."""
     short = F.col("domain").rlike(rules.SHORTENER_PATTERNS["inventory"]) | (F.col("mail_shortened") == 1)
-    # two-step distinct: rows fold into one per domain before the single-row total
-    per_domain = joined.groupBy("domain").agg(
-        F.count("*").alias("n"),
-        F.count_if(~F.col("resolves")).alias("unresolved"),
-        F.count_if(short).alias("suspicious"),
-    )
-    return per_domain.agg(
+    # rows fold into one per domain before they meet the snapshot, so a hot domain is one row of the join
+    per_domain = urls.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(short).alias("suspicious"))
+    joined = per_domain.join(dns, "domain", "left").withColumn("unresolved", F.when(~F.col("resolves"), F.col("n")).otherwise(0))
+    return joined.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_urls"),
         F.count("*").alias("distinct_domains"),
         F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved_urls"),
