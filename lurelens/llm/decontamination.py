@@ -4,7 +4,8 @@ Every window of words of every document (windows overlap by half, so an item's f
 item's score is its BM25 score for the window's distinct words, divided by its score for its own words, and all items at
 or above a threshold are retrieved: postings are cut into blocks of items with the largest impact of each block; windows
 whose bound, and then blocks whose bound, stay below the threshold are skipped, and pivots walk the rest. An item counts
-as leaked if the 5-word shingles of both its question and its answer are found again around the window.
+as leaked if the 5-word shingles of both its question and its answer are found again around any retrieved window; of the
+windows where they are, the one of the best score is reported.
 
 An item's question is what stands before its last question mark, or else all but its last sentence, or else its first half; the
 answer is the rest. Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. Items without
@@ -174,31 +175,43 @@ class ItemIndex:
         if not words or not self.items:
             return []
         ids = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
-        best: dict[int, tuple[float, int, int]] = {}
-        last, terms = -1, []
+        best: dict[int, dict] = {}
+        last, terms, around = -1, [], None
         for w, block in self._windows(ids):
             a, b = w * self.stride, min((w + 2) * self.stride, len(words))
             if w != last:
                 last, terms = w, [t for t in np.unique(ids[a:b]).tolist() if t]
+                around = Surroundings(words, max(0, a - self.stride), min(len(words), b + self.stride))
             for number, score in self.retrieve(terms, block):
-                if number not in best or score > best[number][0]:
-                    best[number] = (score, a, b)
-        out = []
-        for number, (score, a, b) in sorted(best.items()):
-            near = shingles_near(words, max(0, a - self.lengths[number]), b + self.lengths[number], self.parts[number])
-            if all(x >= OVERLAP for x in near):
-                out.append({"item_id": self.items[number], "score": score, "question": near[0], "answer": near[1]})
-        return out
-
-
-def shingles_near(words: list[bytes], begin: int, end: int, parts) -> list[float]:
-    """Share of each part's shingles that stand in words[begin:end]; a part without words counts as found."""
-    out = []
-    for part in parts:
-        n = len(next(iter(part))) if part else 0
-        there = {tuple(words[i:i + n]) for i in range(begin, min(end, len(words)) - n + 1)} if n else set()
-        out.append(sum(s in there for s in part) / len(part) if part else 1.0)
-    return out
+                if number in best and score <= best[number]["score"]:
+                    continue
+                begin, end = a - self.lengths[number], b + self.lengths[number]
+                question, answer = (around.share(part, begin, end) for part in self.parts[number])
+                if question >= OVERLAP and answer >= OVERLAP:
+                    best[number] = {"item_id": self.items[number], "score": score, "question": question, "answer": answer}
+        return [hit for _, hit in sorted(best.items())]
+
+
+class Surroundings:
+    """Where runs of words stand in words[begin:end]; places are looked up once for all items of a window."""
+
+    def __init__(self, words: list[bytes], begin: int, end: int):
+        self.words, self.begin, self.end, self.places = words, begin, end, {}
+
+    def share(self, runs: set[tuple[bytes, ...]], begin: int, end: int) -> float:
+        """Share of the runs, all of one length, that stand in words[begin:end]; none to look for counts as found."""
+        if not runs:
+            return 1.0
+        n = len(next(iter(runs)))
+        held = self._held(n)
+        return sum(any(begin <= i <= end - n for i in held.get(run, ())) for run in runs) / len(runs)
+
+    def _held(self, n: int) -> dict[tuple[bytes, ...], list[int]]:
+        if n not in self.places:
+            held = self.places[n] = {}
+            for i in range(self.begin, self.end - n + 1):
+                held.setdefault(tuple(self.words[i:i + n]), []).append(i)
+        return self.places[n]
 
 
 def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = SHARD_CHARS, threshold: float = THRESHOLD) -> list[ItemIndex]:

@@ -197,3 +197,18 @@ def test_decontamination(spark, empty):
     assert got == want and len(got) >= 40
     assert decontamination.drop_leaked(docs, benchmark).count() == len(rows_) - len([1 for d, t in rows_ if any(d == x for x, _ in want) and (d != 60 or True)])
     assert decontamination.leaked_items(docs, benchmark.filter("false")).count() == 0 and decontamination.leaked_items(empty, benchmark).count() == 0
+
+
+def test_decontamination_verifies_every_window():
+    dice = random.Random(4)
+    filler = lambda n: [f"f{dice.randrange(5000)}" for _ in range(n)]
+    item = "the cat of my aunt sat. then it ran to the red barn."
+    long = " ".join(f"long{i}" for i in range(200)) + ". " + " ".join(f"tail{i}" for i in range(20)) + "."
+    index = decontamination.ItemIndex([(0, item), (1, long)])
+    decoy = filler(360)
+    for at, word in zip(range(5, 360, 25), sorted(set(item.replace(".", "").split()))):
+        decoy[at] = word
+    leaks = lambda *parts: [h["item_id"] for h in index.leaks(" ".join(" ".join(p) for p in parts))]
+    assert leaks(decoy, filler(900)) == []
+    assert leaks(decoy, filler(900), [item], filler(100)) == [0]
+    assert leaks(decoy, filler(900), [item], filler(900), decoy, filler(500), [long]) == [0, 1]
