@@ -4,8 +4,9 @@ Every window of words of every document (windows overlap by half, so an item's f
 item's score is its BM25 score for the window's distinct words, divided by its score for its own words, and all items at
 or above a threshold are retrieved: postings are cut into blocks of items with the largest impact of each block; windows
 whose bound, and then blocks whose bound, stay below the threshold are skipped, and pivots walk the rest. An item counts
-as leaked if the 5-word shingles of both its question and its answer are found again around any retrieved window; of the
-windows where they are, the one of the best score is reported.
+as leaked if the 5-word shingles of both its question and its answer are found again around any retrieved window, or those of
+the whole item and, close to them, half of each part's pairs of words (words, for a part shorter than a shingle), as one
+changed word may break every shingle of a short part. Of the windows where an item is found, the one of the best score is reported.
 
 An item's question is what stands before its last question mark, or else all but its last sentence, or else its first half; the
 answer is the rest. Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. Items without
@@ -28,8 +29,10 @@ from lurelens.llm.common import Cache, text_of
 
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: Least share of an item's own score; least share of the shingles of its question and of its answer; words of a shingle.
+#: Least share of an item's own score; least share of the shingles of its question and of its answer, or of the whole item; words of a shingle.
 THRESHOLD, OVERLAP, SHINGLE = 0.65, 0.8, 5
+#: Least share of each part's runs of two words where the whole item decides: a changed word breaks two of these, but five shingles.
+PART = 0.5
 #: Items are indexed in shards of at most so many characters, so what is sent to the executors is bounded.
 SHARD_CHARS = 32_000_000
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -40,8 +43,8 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_WORDS).split()
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    n = min(SHINGLE, len(words))
+def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    n = min(n, len(words))
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
@@ -64,7 +67,10 @@ class ItemIndex:
         bags = [(item, text, Counter(words_of(text))) for item, text in items]
         bags = [x for x in bags if x[2]]
         self.items = [item for item, _, _ in bags]
-        self.parts = [tuple(map(shingles, halves(text))) for _, text, _ in bags]
+        cut = [halves(text) for _, text, _ in bags]
+        self.parts = [tuple(map(shingles, parts)) for parts in cut]
+        #: Shingles of the whole item; of each part the runs of two words, or the words of a part shorter than a shingle, and its size.
+        self.wholes = [(shingles(a + b), *((shingles(x, 2 if len(x) >= SHINGLE else 1), len(x)) for x in (a, b))) for a, b in cut]
         self.lengths = [sum(bag.values()) for _, _, bag in bags]
         self.threshold = threshold
         mean = sum(self.lengths) / max(1, len(bags))
@@ -167,8 +173,20 @@ class ItemIndex:
             for i, block in np.argwhere(bound >= self.threshold - 1e-9):
                 yield int(i) + begin, int(block)
 
+    def nearly(self, number: int, around: Surroundings, begin: int, end: int) -> bool:
+        """Whether the shingles of the whole item stand in that range and, where they do, enough runs of each part."""
+        whole, *parts = self.wholes[number]
+        span = around.span(whole, begin, end, OVERLAP)
+        if not span:
+            return False
+        for runs, size in parts:
+            reach = size + SHINGLE
+            if around.share(runs, max(begin, span[0] - reach), min(end, span[1] + reach)) < PART:
+                return False
+        return True
+
     def leaks(self, text: str) -> list[dict]:
-        """Verified items of a whole text, by item: id, best score, shares of the question's and the answer's shingles."""
+        """Verified items of a whole text, by item: id, best score, shares of the question's and the answer's shingles there."""
         if self._known is None:
             self._known = Cache(lambda w: self.terms.get(w, 0))
         words = words_of(text)
@@ -187,7 +205,7 @@ class ItemIndex:
                     continue
                 begin, end = a - self.lengths[number], b + self.lengths[number]
                 question, answer = (around.share(part, begin, end) for part in self.parts[number])
-                if question >= OVERLAP and answer >= OVERLAP:
+                if question >= OVERLAP and answer >= OVERLAP or self.nearly(number, around, begin, end):
                     best[number] = {"item_id": self.items[number], "score": score, "question": question, "answer": answer}
         return [hit for _, hit in sorted(best.items())]
 
@@ -206,6 +224,13 @@ class Surroundings:
         held = self._held(n)
         return sum(any(begin <= i <= end - n for i in held.get(run, ())) for run in runs) / len(runs)
 
+    def span(self, runs: set[tuple[bytes, ...]], begin: int, end: int, least: float) -> tuple[int, int] | None:
+        """From the first to the last word of the runs in words[begin:end], if at least that share of them stands there."""
+        n = len(next(iter(runs)))
+        held = self._held(n)
+        found = [own for run in runs if (own := [i for i in held.get(run, ()) if begin <= i <= end - n])]
+        return (min(map(min, found)), max(map(max, found)) + n) if found and len(found) >= least * len(runs) else None
+
     def _held(self, n: int) -> dict[tuple[bytes, ...], list[int]]:
         if n not in self.places:
             held = self.places[n] = {}

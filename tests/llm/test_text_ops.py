@@ -212,3 +212,20 @@ def test_decontamination_verifies_every_window():
     assert leaks(decoy, filler(900)) == []
     assert leaks(decoy, filler(900), [item], filler(100)) == [0]
     assert leaks(decoy, filler(900), [item], filler(900), decoy, filler(500), [long]) == [0, 1]
+
+
+def test_decontamination_meets_items_with_a_changed_word():
+    dice = random.Random(8)
+    text = lambda n, k: [f"{k}{dice.randrange(10 ** 6)}" for _ in range(n)]
+    question, answer, around = text(30, "q"), text(8, "a"), text(150, "x")
+    index = decontamination.ItemIndex([(0, f"{' '.join(question)}. {' '.join(answer)}.")] + [(i, " ".join(text(38, "o"))) for i in range(1, 9)])
+    leaks = lambda q, a: [h["item_id"] for h in index.leaks(" ".join(around + q + a + around[::-1]))]
+    assert leaks(question, answer) == [0]
+    for part in (question, answer):
+        for at in range(len(part)):
+            changed = part[:at] + ["changed"] + part[at + 1:]
+            assert leaks(*((changed, answer) if part is question else (question, changed))) == [0], (part, at)
+    assert leaks(question, text(8, "other")) == leaks(question, []) == leaks([], answer) == leaks(text(30, "other"), answer) == []
+    short = decontamination.ItemIndex([(0, " ".join(question) + "? the barn")] + [(i, " ".join(text(38, "o"))) for i in range(1, 9)])
+    assert short.leaks(" ".join(["the", "barn", *around, *question, *around])) == []  # the question alone makes over 80% of the shingles
+    assert len(short.leaks(" ".join([*around, *question, "a", "barn", *around]))) == 1
