@@ -176,6 +176,20 @@ def test_toxicity_learns_words_and_inflections(spark):
     assert toxicity.score_documents(docs.filter("false"), model).count() == 0
 
 
+def test_toxicity_rejects_nothing_it_has_not_learnt(spark):
+    rows = [(i, "vile words" if i % 2 else "kind words", "aa") for i in range(40)] + [(100, None, "aa"), (101, "", None), (102, " .\n!", "aa"), (103, "\u6f22", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for truth in (labels.filter("false"), labels.filter("toxic = 0"), labels.filter("toxic = 1"), labels.withColumn("doc_id", labels.doc_id + 1000)):
+        model = toxicity.train(docs, truth)
+        assert toxicity.reject_toxic(docs, model).count() == len(rows)
+        assert not any(r.flagged for r in toxicity.score_documents(docs, model).collect())
+    model = toxicity.train(docs, labels)
+    model.threshold, model.thresholds = 1e-9, {"aa": 1e-9}  # below any score
+    assert {r.doc_id for r in toxicity.reject_toxic(docs, model).collect()} == {100, 101, 102}
+
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = docs
