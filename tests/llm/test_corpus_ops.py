@@ -136,6 +136,23 @@ def test_language_model_learns_what_follows_what(spark):
     assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)  # both are below 0
 
 
+def test_language_model_gathers_from_all_training_documents(spark):
+    path, pattern = queries.tokenizer("byte_bpe_50k.tiktoken")
+    rows = [(i, "one two three") for i in range(2000)] + [(2000 + i, "zebra " * 20_000) for i in range(7)]  # past the first 1,200 documents, or over 100,000 characters
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, kept = lm.train(docs, path, pattern)
+    subwords = lm.Subwords(path, pattern)
+    training = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    assert any("zebra" in t for t in training) and model.n_ids == sum(len(subwords.of(w)) for t in training for w in lower_words(t)) + len(training)
+    zebra = subwords.of(b"zebra")[-1]
+    unseen = subwords.of(b"quixotic")[-1]
+    assert model.cls[zebra] != model.cls[unseen]
+    flats = [np.array([i for w in lower_words(t) for i in subwords.of(w)] + [subwords.end]) for t in training]
+    listed = lm.AttentionModel(subwords.end + 1, flats)
+    assert (listed.cls == model.cls).all() and np.allclose(listed.inside, model.inside)
+    assert 0 < len(kept) <= 100 and lm.OVERLAP * 2 >= lm.WINDOW
+
+
 def test_each_id_is_scored_once_whatever_the_batch():
     rng = np.random.default_rng(1)
     sequences = [rng.integers(0, 50, n) for n in (0, 1, 5, 23, 24, 25, 44, 45, 200, 61)]
