@@ -93,7 +93,7 @@ def model_scores_logistic(spark, sf):
 
 @query("model_scores__forest")
 def model_scores_forest(spark, sf):
-    return _fit_and_score(spark, sf, lambda train: M.forest(trees=20, depth=10))
+    return _fit_and_score(spark, sf, lambda train: M.forest())
 
 
 @query("model_scores__hybrid")
@@ -104,7 +104,7 @@ def model_scores_hybrid(spark, sf):
     rows = M.with_embeddings(rows, vectors, 64)
     split = S.stratified_split(mails.select("id", "label")).select("id", "split")
     rows = rows.join(split, "id").withColumn("is_validation", F.col("split") == "validation")
-    model = M.fit_hybrid(rows.filter("split <> 'test'"), E.HYBRID_NAMES, trees=20, depth=4)
+    model = M.fit_hybrid(rows.filter("split <> 'test'"), E.HYBRID_NAMES)
     from pyspark.ml.functions import array_to_vector
 
     test = rows.filter("split = 'test'").withColumn("embedding_vector", array_to_vector("embedding"))
@@ -127,7 +127,7 @@ def stacking_table(spark, sf):
 def stacked_scores(spark, sf):
     names = ["alpha", "beta", "gamma"]
     table = M.stacking_table(fx.predictions(spark, sf), names)
-    return M.scored(M.fit_stacking(table, names), table).select("id", round6(F.col("probability")).alias("probability"))
+    return M.out_of_fold_stacking(S.stratified_folds(table), names).select("id", round6(F.col("probability")).alias("probability"))
 
 
 @query("batch_verdicts")

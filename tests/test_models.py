@@ -87,3 +87,38 @@ def test_hybrid_and_scalers(spark):
     out = M.scored(model, df.withColumn("embedding_vector", array_to_vector("embedding")))
     assert out.filter("probability BETWEEN 0 AND 1").count() == 40
     assert M.scaled(df, ["n"], "minmax").count() == 40
+
+
+def test_queries_use_the_declared_settings(spark, sf, monkeypatch):
+    from lurelens.plans import q_models
+
+    seen = []
+    own = q_models.M.fit_text_model, q_models.M.hybrid_stages
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        seen.append((args, kwargs))
+        raise Seen
+
+    monkeypatch.setattr(q_models.M, "fit_text_model", stop)
+    monkeypatch.setattr(q_models.M, "hybrid_stages", stop)
+    for query in (q_models.model_scores_forest, q_models.model_scores_hybrid):
+        with pytest.raises(Seen):
+            query(spark, sf)
+    forest = seen[0][0][1]
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 20)
+    gbt = own[1](*seen[1][0], **seen[1][1])[-1]
+    assert (gbt.getMaxIter(), gbt.getMaxDepth()) == (200, 8)
+
+
+def test_stacking_scores_no_row_it_was_fitted_on(spark):
+    rows = [(i, int(i % 3 == 0), (i * 7 % 10) / 10, (i * 3 % 10) / 10, i % 4) for i in range(40)]
+
+    def score(flipped):
+        table = spark.createDataFrame([(i, 1 - y if i == flipped else y, a, b, f) for i, y, a, b, f in rows], "id long, label int, a double, b double, fold int")
+        return {r.id: r.probability for r in M.out_of_fold_stacking(table, ["a", "b"]).collect()}
+
+    plain, other = score(None), score(8)
+    assert len(plain) == 40 and plain[8] == pytest.approx(other[8], abs=1e-9) and plain[9] != pytest.approx(other[9], abs=1e-9)
