@@ -5,7 +5,8 @@ under which version of the rules and what was found; a scan reads only pairs of
 findings are joined back to every path (document) that holds the blob.
 
 Null texts are the empty blob, which is scanned once like any other. Repeated rows and copies are paths of one blob and
-get the same findings. Extra columns are left out. A run that fails leaves no part behind: its folder replaces itself.
+get the same findings. Extra columns are left out. Each run writes a folder of a fresh name; a ledger takes over what earlier
+sessions left in its folder, but no part without its success mark, so a run that failed counts as not scanned.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -63,6 +65,11 @@ class BlobLedger:
 
     def __init__(self, spark: SparkSession, folder: str, rules: str = RULES):
         self.spark, self.folder, self.rules, self.parts = spark, folder, rules, []
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rules={rules}")
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for run in files.listStatus(root) if files.exists(root) else []:
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(run.getPath(), "_SUCCESS")):
+                self.add_part(f"{folder}/rules={rules}/{run.getPath().getName()}")
 
     def add_part(self, path: str) -> None:
         """Takes over a part that an earlier run wrote."""
@@ -84,7 +91,7 @@ class BlobLedger:
             for batch in batches:
                 yield pd.DataFrame({"blob": batch["blob"], "spans": [[{"kind": k, "first": a, "last": b} for k, a, b in find(t)] for t in batch["text"]]})
 
-        path = f"{self.folder}/rules={self.rules}/run={run}"
+        path = f"{self.folder}/rules={self.rules}/run={run}-{uuid.uuid4()}"
         fresh.select("blob", "text").mapInPandas(scanned, FINDINGS).write.mode("overwrite").parquet(path)
         self.parts.append(path)
         return self.spark.read.parquet(path).count()
@@ -95,7 +102,7 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger, run: str = "0", id_col:
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = rows.select("id", F.unhex(F.sha2("text", 256)).alias("blob"), "text")
     ledger.scan(rows.select("blob", "text"), run)
-    paths = written(rows.select("id", "blob"), ledger.folder, f"paths/run={run}")
+    paths = written(rows.select("id", "blob"), ledger.folder, f"paths/run={run}-{uuid.uuid4()}")
     return paths.join(ledger.findings(), "blob").select("id", "blob", "spans")
 
 

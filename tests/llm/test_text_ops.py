@@ -229,3 +229,22 @@ def test_decontamination_meets_items_with_a_changed_word():
     short = decontamination.ItemIndex([(0, " ".join(question) + "? the barn")] + [(i, " ".join(text(38, "o"))) for i in range(1, 9)])
     assert short.leaks(" ".join(["the", "barn", *around, *question, *around])) == []  # the question alone makes over 80% of the shingles
     assert len(short.leaks(" ".join([*around, *question, "a", "barn", *around]))) == 1
+
+
+def test_ledger_outlives_its_session(spark, docs):
+    folder = shared_folder(spark)
+    one = secrets.BlobLedger(spark, folder)
+    first = secrets.scan_documents(docs, one)
+    want = rows(secrets.digest(first))
+    text = "token = '04dbebab91ab85687d33eeaaf9ac699e1188f962' again"
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500, text)], "doc_id long, text string"))
+    two = secrets.BlobLedger(spark, folder)
+    assert two.parts == one.parts and len(two.parts) == 1
+    got = rows(secrets.digest(secrets.scan_documents(more, two)))
+    assert [r for r in got if r[0] != 500] == want and len(got) == len(want) + 1
+    assert spark.read.schema(secrets.FINDINGS).parquet(two.parts[-1]).count() == 1  # only the unseen blob
+    assert rows(secrets.digest(first)) == want  # the earlier result still reads its own paths
+    two.findings().limit(0).write.mode("error").parquet(f"{folder}/rules={secrets.RULES}/run=failed")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rules={secrets.RULES}/run=failed/_SUCCESS")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, False)
+    assert sorted(secrets.BlobLedger(spark, folder).parts) == sorted(two.parts)
