@@ -32,17 +32,50 @@ def stream_latest_status(spark, sf):
     return out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
-@query("stream__scan_lifecycle", s.sql("SELECT scan_id, arg_max(status, (ts, event_id)) AS status, epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS updated_us, count(*) AS updates FROM scan_events GROUP BY scan_id", "scan_events"))
+def _lives(keep: str) -> dict[str, str]:
+    """Islands of events without a gap beyond the keeping time of the status before the gap."""
+    return {
+        "ev": "SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS before_us, lag(status) OVER w AS before FROM scan_events WINDOW w AS (PARTITION BY scan_id ORDER BY ts, event_id)",
+        "li": f"SELECT *, sum(CASE WHEN before_us IS NULL OR us - before_us > {keep.format(status='before')} THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id ORDER BY ts, event_id) AS life FROM ev",
+        "lv": "SELECT scan_id, life, arg_max(status, (ts, event_id)) AS status, min(us) AS created_us, max(us) AS updated_us, count(*) AS updates FROM li GROUP BY scan_id, life",
+        "lx": f"SELECT *, CAST(life < max(life) OVER (PARTITION BY scan_id) OR (updated_us + {keep.format(status='status')}) // 1000 < (SELECT max(us) // 1000 - 600000 FROM ev) AS INT) AS expired FROM lv",
+    }
+
+
+_SCAN_KEEP = "7200000000"
+_CACHE_KEEP = "CASE WHEN {status} = 'completed' THEN 86400000000 ELSE 3600000000 END"
+
+
+def _run_lives(spark, sf, **keep):
+    own = S.with_state_store(spark)
+    rows, _ = S.run_available(S.scan_lifecycle(_events(own, sf), **keep), work_folder(spark), "update")
+    return S.newest_batch(rows, "scan_id", "life_us").withColumn("expired", F.col("expired").cast("int"))
+
+
+@query("stream__scan_expiry", s.sql("SELECT scan_id, status, created_us, updated_us, updates, expired FROM lx", "scan_events", **_lives(_SCAN_KEEP)))
+def stream_scan_expiry(spark, sf):
+    """Every life of a scan: it ends when nothing came for two hours."""
+    return _run_lives(spark, sf).drop("life_us")
+
+
+@query("stream__cache_expiry", s.sql("SELECT scan_id, status, created_us, updated_us, updates, expired FROM lx", "scan_events", **_lives(_CACHE_KEEP)))
+def stream_cache_expiry(spark, sf):
+    """Cached results: completed ones are kept for a day, others for an hour."""
+    return _run_lives(spark, sf, expiry_hours=1, by_status={"completed": 24}).drop("life_us")
+
+
+@query("stream__scan_lifecycle", s.sql("SELECT scan_id, status, created_us, updated_us, updates, expired FROM lx QUALIFY life = max(life) OVER (PARTITION BY scan_id)", "scan_events", **_lives(_SCAN_KEEP)))
 def stream_scan_lifecycle(spark, sf):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        states = S.scan_lifecycle(_events(spark, sf), expiry_hours=24 * 400)
-        rows, _ = S.run_available(states, work_folder(spark), "update")
-    finally:
-        spark.conf.set(provider, before)
-    return S.newest_batch(rows.filter("NOT expired").drop("expired"), "scan_id")
+    """The newest life of every scan under the declared expiry."""
+    values = F.struct("created_us", "status", "updated_us", "updates", "expired")
+    return _run_lives(spark, sf).groupBy("scan_id").agg(F.max_by(values, "life_us").alias("v")).select("scan_id", "v.*")
+
+
+@query("stream__unexpired_history", s.sql("SELECT event_id, scan_id, status FROM scan_events WHERE ts >= (SELECT max(ts) FROM scan_events) - INTERVAL 1 HOUR", "scan_events"))
+def stream_unexpired_history(spark, sf):
+    """What the history still keeps, an hour, after the newest event of the batch."""
+    rows, _ = S.run_available(_events(spark, sf), work_folder(spark), transform=lambda batch: S.unexpired(batch, batch.agg(F.max("ts")).scalar()))
+    return rows.select("event_id", "scan_id", "status")
 
 
 @query("stream__once_per_message", s.sql("SELECT DISTINCT event_id, user_id FROM events"))

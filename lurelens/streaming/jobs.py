@@ -36,68 +36,134 @@ def latest_status(events: DataFrame, ts: str = "ts", late: str = EXPIRY["scan"])
     )
 
 
-LIFECYCLE = "scan_id bigint, status string, created_us bigint, updated_us bigint, updates bigint, expired boolean"
-_STATE = "status string, created_us bigint, updated_us bigint, event_id bigint, updates bigint"
+LIFECYCLE = "scan_id bigint, life_us bigint, status string, created_us bigint, updated_us bigint, updates bigint, expired boolean"
+_STATE = "life_us bigint, status string, created_us bigint, updated_us bigint, event_id bigint, updates bigint"
+_HOUR_US = 3_600_000_000
 
 
 class _Lifecycle(StatefulProcessor):
-    """Constant-size state per scan: newest status, first and last time, number of updates. An
-    event-time timer ends a scan that was quiet for the expiry time."""
+    """Constant-size state per scan: newest status, first and last time, number of updates.
 
-    def __init__(self, expiry_ms: int) -> None:
-        self.expiry_ms = expiry_ms
+    A scan that was quiet for longer than its status may be kept has expired: by a later event, which
+    opens a new life, or by an event-time timer once the watermark has passed. A row so far before the
+    open life that it can't belong to it is a life of its own.
+    """
+
+    def __init__(self, keep_hours: float, by_status: dict[str, float]) -> None:
+        self.keep_us = int(keep_hours * _HOUR_US)
+        self.by_status = {status: int(hours * _HOUR_US) for status, hours in by_status.items()}
 
     def init(self, handle) -> None:
         self.handle = handle
         self.scan = handle.getValueState("scan", _STATE)
 
-    def _row(self, key, state, expired: bool) -> pd.DataFrame:
-        status, created, updated, _, updates = state
+    def _keep(self, status: str) -> int:
+        return self.by_status.get(status, self.keep_us)
+
+    def _rows(self, key, lives: list[tuple[tuple, bool]]) -> pd.DataFrame:
         return pd.DataFrame(
-            {"scan_id": [key[0]], "status": [status], "created_us": [created], "updated_us": [updated], "updates": [updates], "expired": [expired]}
+            [(key[0], life, status, created, updated, updates, gone) for (life, status, created, updated, _, updates), gone in lives],
+            columns=["scan_id", "life_us", "status", "created_us", "updated_us", "updates", "expired"],
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.scan.get() if self.scan.exists() else None
-        for batch in rows:
-            newest = batch.sort_values(["ts_us", "event_id"]).iloc[-1]
-            last = (int(newest["ts_us"]), int(newest["event_id"]))
-            first, n = int(batch["ts_us"].min()), len(batch)
-            if state is None:
-                state = (newest["status"], first, last[0], last[1], n)
+        arrived = sorted(r for batch in rows for r in zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["status"].tolist()))
+        now = tuple(self.scan.get()) if self.scan.exists() else None
+        closed = []
+        for ts, event_id, status in arrived:
+            fresh = (ts, status, ts, ts, event_id, 1)
+            if now is None:
+                now = fresh
+                continue
+            life, newest, created, updated, last_id, updates = now
+            if ts > updated + self._keep(newest):
+                closed.append((now, True))
+                now = fresh
+            elif ts < created - self._keep(status):
+                closed.append((fresh, True))
+            elif (ts, event_id) > (updated, last_id):
+                now = (life, status, created, ts, event_id, updates + 1)
             else:
-                status, created, updated, event_id, updates = state
-                if last > (updated, event_id):
-                    status, updated, event_id = newest["status"], last[0], last[1]
-                state = (status, min(created, first), updated, event_id, updates + n)
-        if state is not None:
-            self.scan.update(state)
+                now = (life, newest, min(created, ts), updated, last_id, updates + 1)
+        if now is not None:
+            self.scan.update(now)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(state[2] // 1000 + self.expiry_ms)
-            yield self._row(key, state, False)
+            self.handle.registerTimer((now[3] + self._keep(now[1])) // 1000)
+            closed.append((now, False))
+        yield self._rows(key, closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.scan.exists():
-            state = self.scan.get()
+            now = tuple(self.scan.get())
             self.scan.clear()
-            yield self._row(key, state, True)
+            yield self._rows(key, [(now, True)])
 
     def close(self) -> None:
         pass
 
 
-def scan_lifecycle(events: DataFrame, expiry_hours: float = 2, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Scan states with expiry. Needs the RocksDB state store provider (see ``session.SETTINGS``)."""
+def scan_lifecycle(
+    events: DataFrame, expiry_hours: float = 2, ts: str = "ts", late: str = "10 minutes", by_status: dict[str, float] | None = None
+) -> DataFrame:
+    """Lives of scans with expiry: every change of a life is a row, ``life_us`` names the life.
+
+    ``by_status`` gives some statuses their own keeping time, as for cached look-ups. Needs the RocksDB
+    state store provider (see ``with_state_store``).
+    """
     rows = events.withWatermark(ts, late).select(
         "scan_id", "event_id", "status", F.unix_micros(F.col(ts)).alias("ts_us"), F.col(ts)
     )
     return rows.groupBy("scan_id").transformWithStateInPandas(
-        statefulProcessor=_Lifecycle(int(expiry_hours * 3600 * 1000)), outputStructType=LIFECYCLE,
+        statefulProcessor=_Lifecycle(expiry_hours, by_status or {}), outputStructType=LIFECYCLE,
         outputMode="Update", timeMode="EventTime",
     )
 
 
+class _Remembered(StatefulProcessor):
+    """Newest status per scan, which the state store itself forgets after the time to live."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "status string, updates bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = sorted(r for batch in rows for r in zip(batch["ts"].tolist(), batch["event_id"].tolist(), batch["status"].tolist()))
+        known = self.seen.get()[1] if self.seen.exists() else 0
+        state = (arrived[-1][2], known + len(arrived))
+        self.seen.update(state)
+        yield pd.DataFrame({"scan_id": [key[0]], "status": [state[0]], "updates": [state[1]], "remembered": [known > 0]})
+
+    def close(self) -> None:
+        pass
+
+
+def remembered_status(events: DataFrame, keep_seconds: float = 3600) -> DataFrame:
+    """Newest status per scan with a count that starts anew once nothing came for the time to live.
+    The time is the cluster's clock, so it suits live caches, not the replay of old events."""
+    return events.select("scan_id", "event_id", "status", "ts").groupBy("scan_id").transformWithStateInPandas(
+        statefulProcessor=_Remembered(int(keep_seconds * 1000)),
+        outputStructType="scan_id bigint, status string, updates bigint, remembered boolean",
+        outputMode="Update", timeMode="ProcessingTime",
+    )
+
+
+def with_state_store(spark: SparkSession, idle_batches: bool = True) -> SparkSession:
+    """A session of its own whose streams keep state in RocksDB; the caller's settings stay as they are.
+
+    Event-time timers need batches without data; a stream on the cluster's clock that is to stop once
+    all is read must do without, as it would ask for the next one for ever.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
+    return own
+
+
 def score_arriving(mails: DataFrame) -> DataFrame:
     """Features and verdict of arriving mails; a projection, so it adds no state."""
     return scoring.score_stateless(mails)

@@ -1,6 +1,7 @@
 """Streams run to completion and agree with what batch says."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,41 @@ def test_lifecycle_expires_quiet_scans(spark, tmp_path):
     assert S.newest_batch(rows.filter("scan_id = 2").drop("expired"), "scan_id").first().updates == 2
 
 
+def test_lives_follow_gaps_across_batches(spark, tmp_path):
+    """Out-of-order rows, gaps inside one batch and over batches, keeping times by status."""
+    src, work = str(tmp_path / "in"), str(tmp_path / "work")
+    schema = "scan_id long, event_id long, status string, ts timestamp"
+    _write(spark, [(1, 3, "completed", _t(200)), (1, 1, "queued", _t(0)), (1, 2, "running", _t(30)), (2, 9, "queued", _t(10))], src, "a")
+    own = S.with_state_store(spark)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own.conf.get("spark.sql.shuffle.partitions")
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    states = S.scan_lifecycle(stream, expiry_hours=1, by_status={"completed": 24})
+    S.run_available(states, work, "update")
+    _write(spark, [(1, 4, "running", _t(200 + 24 * 60)), (1, 5, "queued", _t(200 + 24 * 60 + 60)), (1, 6, "queued", _t(200 + 24 * 60 + 121))], src, "b")
+    rows, _ = S.run_available(states, work, "update")
+    lives = {(r.scan_id, r.created_us // 60_000_000 - 28401120): (r.status, r.updates, r.expired) for r in S.newest_batch(rows, "scan_id", "life_us").collect()}
+    zero = min(m for k, m in lives if k == 1)
+    lives = {(k, m - zero): v for (k, m), v in lives.items()}
+    assert lives == {(1, 0): ("running", 2, True), (1, 200): ("queued", 3, True), (1, 1761): ("queued", 1, False), (2, 10): ("queued", 1, True)}
+
+
+def test_state_store_forgets_after_the_time_to_live(spark, tmp_path):
+    src, work = str(tmp_path / "in"), str(tmp_path / "work")
+    schema = "scan_id long, event_id long, status string, ts timestamp"
+    own = S.with_state_store(spark, idle_batches=False)
+
+    def more(event_id, keep):
+        _write(spark, [(1, event_id, f"s{event_id}", _t(event_id))], src, "x")
+        rows, _ = S.run_available(S.remembered_status(own.readStream.schema(schema).parquet(src), keep), work, "update")
+        return max((r.batch, r.status, r.updates, r.remembered) for r in rows.collect())[1:]
+
+    assert more(1, 3600) == ("s1", 1, False) and more(2, 3600) == ("s2", 2, True)
+    work = str(tmp_path / "short")
+    assert more(3, 1)[1:] == (3, False)
+    time.sleep(1.5)
+    assert more(4, 1) == ("s4", 1, False)
+
+
 def test_repeats_and_late_rows_are_dropped(spark, tmp_path):
     src, work = str(tmp_path / "in"), str(tmp_path / "work")
     schema = "scan_id long, event_id long, status string, ts timestamp"
