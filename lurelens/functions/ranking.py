@@ -1,6 +1,6 @@
 """Global ranks and running totals without a one-task window.
 
-Rows are cut into many ordered buckets. Totals per bucket are a small table (groups x buckets, a
+Rows are cut into many ordered buckets, by leading bits of a hash or by quantiles of a score. Totals per bucket are a small table (groups x buckets, a
 proven bound), so their prefix sums are cheap; the fine order is settled inside each bucket. No
 group, however hot, is ever sorted by one task.
 """
@@ -23,9 +23,28 @@ def hash_bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
 
 
-def score_bucket(score: Column) -> Column:
-    """Equal-width bucket of a probability in [0, 1]."""
-    return F.least(F.floor(score * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1)).cast("int")
+#: Cuts of a distribution; a bucket between two of them holds about 1/EDGES of the values.
+EDGES, COARSE = 1024, 32
+
+
+def quantile_edges(df: DataFrame, value: str) -> list[float]:
+    """EDGES - 1 ascending cuts at even shares of the values, from a quantile sketch that tasks build and merge.
+
+    They become literals of the plan: a plan that reads its input twice sees the same buckets both times.
+    """
+    shares = [i / EDGES for i in range(1, EDGES)]
+    return df.agg(F.percentile_approx(value, shares, 10 * EDGES).alias("e")).first()["e"] or []
+
+
+def quantile_bucket(value: Column, edges: list[float]) -> Column:
+    """Number of cuts below the value, found in two steps of at most COARSE and EDGES / COARSE comparisons."""
+    if not edges:
+        return F.lit(0)
+    step = -(-len(edges) // COARSE)
+    cuts = [F.expr("array(" + ", ".join(f"{float(e)!r}D" for e in part) + ")") for part in (edges[step - 1::step], edges)]
+    coarse = F.size(F.filter(cuts[0], lambda e: e < value))
+    fine = F.size(F.filter(F.slice(cuts[1], coarse * step + 1, F.lit(step)), lambda e: e < value))
+    return coarse * step + fine
 
 
 def bucketed_prefix(

@@ -1,7 +1,7 @@
 """Joins with DNS, reputation and blocklist snapshots.
 
 Snapshots grow with the corpus, so none is force-broadcast. A hot domain (a free-mail host may hold
-a third of all URLs) is spread over salts: the snapshot side, one row per key, is repeated per salt.
+a third of all URLs) is spread over as many salts as its share asks for; other keys are not salted.
 """
 
 from __future__ import annotations
@@ -15,16 +15,38 @@ from lurelens.functions.risk import ladder
 from lurelens.functions.stages import unpacked
 from lurelens.functions.text import blank, flag
 
-SALTS = 8
+#: At most so many keys are salted: any other key holds less than 1/HOT_KEYS of the rows.
+HOT_KEYS = 1000
+#: Counters of the sketch; a count is off by at most rows / SKETCH.
+SKETCH = 10 * HOT_KEYS
+#: A salted part is so much smaller than an even partition that parts add up evenly.
+PARTS = 32
 
 
-def left_on_key(left: DataFrame, right: DataFrame, key: str, spread: tuple[str, ...] = ("id",), salts: int = SALTS) -> DataFrame:
+def hot_salts(left: DataFrame, key: str) -> DataFrame:
+    """(key, salts) of the most frequent keys, HOT_KEYS rows at most.
+
+    Every task keeps a sketch of its most frequent keys, and sketches are merged: no row moves. A key gets one
+    salt per 1/PARTS of an even partition it holds. Errors of the sketch change the balance, never the rows.
+    """
+    parts = PARTS * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = left.agg(F.count(key).alias("_n"), F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {SKETCH})").alias("_top"))
+    salts = F.ceil(F.col("_t.count") * parts / F.col("_n")).cast("int")
+    return counted.select("_n", F.explode("_top").alias("_t")).select(F.col("_t.item").alias(key), salts.alias("_salts")).filter("_salts > 1")
+
+
+def left_on_key(left: DataFrame, right: DataFrame, key: str, spread: tuple[str, ...] = ("id",)) -> DataFrame:
     """Left join on ``key`` where ``left`` may be skewed and ``right`` has one row per key.
 
-    The salt is a hash of the ``spread`` columns, so a retried task makes the same choice.
+    Rows of a hot key are dealt to its salts by a hash of the ``spread`` columns, so a retried task makes the
+    same choice; the right row of that key is repeated as often. Rows without a key match nothing and are
+    spread by the same hash. The table of hot keys is broadcast: HOT_KEYS rows at most.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    hot = F.broadcast(hot_salts(left, key))
+    mixed = F.xxhash64(*spread, F.lit(1))
+    salt = F.when(F.col(key).isNull(), mixed).otherwise(F.pmod(mixed, F.coalesce("_salts", F.lit(1)).cast("bigint")))
+    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1))).drop("_salts")
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 

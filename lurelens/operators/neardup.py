@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 
 from lurelens.functions.stages import sealed, unpacked
 from lurelens.functions.text import blank
-from lurelens.operators.enrichment import SALTS, left_on_key
+from lurelens.operators.enrichment import left_on_key
 from lurelens.operators.vectorize import WORD_GAP
 
 SUB_GROUPS = 16
+SALTS = 8
 WIDTH = 3
 SLACK = 1e-9
 

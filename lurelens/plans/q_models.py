@@ -11,11 +11,13 @@ from lurelens.operators import evaluation as V
 from lurelens.operators import features as E
 from lurelens.operators import models as M
 from lurelens.operators import splits as S
+from lurelens.operators import validation as X
 from lurelens.operators import vectorize as T
 from lurelens.plans import fixtures as fx
 from lurelens.plans import sqlparts as s
 from lurelens.plans.q_features import rounded
 from lurelens.plans.registry import query
+from lurelens.session import work_folder
 
 _WORDS = f"list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND NOT list_contains({s.arr(rules.STOPWORDS)}, w))"
 TFIDF = {
@@ -111,6 +113,51 @@ def model_scores_hybrid(spark, sf):
     return M.scored(model, test).select("id", "label", round6(F.col("probability")).alias("probability"))
 
 
+def _folded(spark, sf):
+    rows = _training(spark, sf).drop("split")
+    folds = S.stratified_folds(fx.emails(spark, sf, text=False).select("id", "label")).select("id", "fold")
+    return rows.join(folds, "id")
+
+
+def _contract(spark, sf, candidates):
+    """Counts per candidate and fold from the written scores, errors of the protocol, and the mean F1 beside its recount."""
+    rows = _folded(spark, sf)
+    scores = X.fold_scores(rows, candidates, work_folder(spark), max_df=0.9)
+    grid = X.grid_table(scores)
+    wrong = X.wrongly_scored(scores, rows).groupBy("candidate").agg(F.count("*").alias("wrongly_scored"))
+    ranked = X.ranked_candidates(grid)
+    best = ranked.agg(F.max("f1")).scalar()
+    out = grid.join(wrong, "candidate", "left").join(ranked.withColumnRenamed("f1", "mean_f1"), "candidate")
+    hits, calls = F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    return out.select(
+        "candidate", "fold", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"), (F.col("tp") + F.col("fn")).alias("positives"),
+        F.coalesce("wrongly_scored", F.lit(0)).cast("bigint").alias("wrongly_scored"), flag(F.abs(F.col("f1") - F.coalesce(2 * hits / F.nullif(calls, F.lit(0)), F.lit(0.0))) < 1e-12).alias("f1_holds"),
+        flag((F.col("rank") > 1) | (F.col("mean_f1") == best)).alias("winner_is_best"), (F.lit(len(candidates))).cast("bigint").alias("candidates"),
+    )
+
+
+def _contract_sql(names):
+    rows = ", ".join(f"({s.lit(n)})" for n in names)
+    return s.sql(
+        f"SELECT c.candidate, fo.fold, fo.rows, fo.positives, CAST(0 AS BIGINT) AS wrongly_scored, 1 AS f1_holds, 1 AS winner_is_best, CAST({len(names)} AS BIGINT) AS candidates FROM fo, (VALUES {rows}) AS c(candidate)",
+        "emails", r=_RANKS, fo="SELECT CAST((r.rn - 1) % 5 AS INT) AS fold, count(*) AS rows, count(CASE WHEN label = 1 THEN 1 END) AS positives FROM r GROUP BY 1")
+
+
+_RANKS = "SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id), id) AS rn FROM emails"
+
+
+@query("cross_validation__logistic", _contract_sql(["C 1"]))
+def cross_validation_logistic(spark, sf):
+    """Five folds, a model fitted on four of them each time."""
+    return _contract(spark, sf, X.logistic_grid([1.0]))
+
+
+@query("grid_search__logistic", _contract_sql([f"C {c:g}" for c in M.LOGISTIC_GRID]))
+def grid_search_logistic(spark, sf):
+    """The declared grid over five folds; the candidate of rank 1 has the best mean F1 of the written scores."""
+    return _contract(spark, sf, X.logistic_grid())
+
+
 @query("model_term_importance")
 def model_term_importance(spark, sf):
     train = _training(spark, sf).filter("split = 'train'").drop("split")

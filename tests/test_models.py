@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lurelens.operators import evaluation as V
 from lurelens.operators import models as M
 from lurelens.operators import splits as S
+from lurelens.operators import validation as X
 from lurelens.operators import vectorize as T
 
 TEXTS = [
@@ -38,14 +39,52 @@ def test_text_model_separates_and_repeats(spark, train, tmp_path):
     assert set(M.batch_verdicts(model, train).columns) == {"id", "verdict", "confidence", "risk_level"}
 
 
-def test_grid_search_and_forest(train):
-    rows = S.stratified_folds(train, 2)
-    best = M.tune_logistic(rows, [0.1, 1.0], stopwords=[])
-    assert len(best.avgMetrics) == 2 and max(best.avgMetrics) > 0.9
+def test_forest_scores_are_probabilities(train):
     forest = M.fit_text_model(train, M.forest(trees=5, depth=4), stopwords=[])
     assert M.scored(forest, train).filter("probability < 0 OR probability > 1").count() == 0
 
 
+def test_folds_are_fitted_without_their_own_rows(spark, train, tmp_path):
+    """A word that only one fold holds is no term of the models that score that fold."""
+    rows = S.stratified_folds(train, 3).withColumn("text", F.concat("text", F.lit(" only"), F.translate(F.col("fold").cast("string"), "012", "abc")))
+    fitted = {}
+
+    def spy(total):
+        real = M.logistic(1.0, total, 50)
+        fit = real.fit
+
+        def noted(table):
+            fitted[id(real)] = table.count()
+            return fit(table)
+
+        real.fit = noted
+        return real
+
+    scores = X.fold_scores(rows, {"C 1": spy, "small": lambda total: M.logistic(0.001, total, 50)}, str(tmp_path), stopwords=[])
+    assert scores.count() == 2 * 48 and X.wrongly_scored(scores, rows).count() == 0
+    assert sorted(fitted.values()) == [48 - n for n in sorted((r["count"] for r in rows.groupBy("fold").count().collect()), reverse=True)]
+    grid = X.grid_table(scores)
+    plain = {}
+    for r in scores.collect():
+        cell = plain.setdefault((r.candidate, r.fold), [0, 0, 0, 0])
+        cell[2 * r.label + (r.probability > 0.5)] += 1
+    assert {(r.candidate, r.fold): [r.tn, r.fp, r.fn, r.tp] for r in grid.collect()} == plain
+    ranked = {r["rank"]: r for r in X.ranked_candidates(grid).collect()}
+    assert sorted(ranked) == [1, 2] and ranked[1].f1 >= ranked[2].f1
+    moved = scores.withColumn("fold", F.when(F.col("id") == 3, (F.col("fold") + 1) % 3).otherwise(F.col("fold")))
+    assert X.wrongly_scored(moved, rows).count() == 2 and X.wrongly_scored(scores.unionByName(scores.filter("id = 4")), rows).count() == 2
+    assert X.summary(scores).count() == 2
+
+
+def test_forest_grid_runs(spark, train, tmp_path):
+    rows = S.stratified_folds(train, 2)
+    grid = X.forest_grid(trees=(3, 5), depths=(2,), leaves=(1, 2))
+    ranked = X.ranked_candidates(X.grid_table(X.fold_scores(rows, grid, str(tmp_path), stopwords=[]))).collect()
+    assert len(X.forest_grid()) == 27 and sorted(r["rank"] for r in ranked) == [1, 2, 3, 4]
+    best = next(r.candidate for r in ranked if r["rank"] == 1)
+    assert M.scored(X.refitted(rows, grid, best, stopwords=[]), train).count() == 48
+
+
 def test_splits_are_disjoint_and_stratified(spark):
     df = spark.range(1000).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
     out = S.stratified_split(df)
