@@ -98,8 +98,9 @@ def write_mails(df: DataFrame, path: str, form: str = "jsonl", mode: str = "over
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Training sets and metric tables."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Training sets and metric tables. Blanks at the ends of a value stay."""
+    form = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**form).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:

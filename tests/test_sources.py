@@ -2,6 +2,7 @@
 
 import json
 
+from lurelens.sources import folders as D
 from lurelens.sources import mail as M
 from lurelens.sources import tables as T
 
@@ -50,6 +51,50 @@ def test_multipart_and_html_only(spark):
     assert rows[2].body == "" and rows[2].id == "unknown"
 
 
+def test_nested_parts_yield_their_text(spark):
+    inner = 'Content-Type: multipart/alternative; boundary="y"\n\n--y\nContent-Type: text/plain\n\nnested text\n--y\nContent-Type: text/html\n\n<p>x</p>\n--y--\n'
+    mail = f'From: a@b.c\nContent-Type: multipart/mixed; boundary="x"\n\n--x\n{inner}\n--x\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="f.pdf"\n\nabcd\n--x--\n'
+    row = M.parse_mime(spark.createDataFrame([(mail,)], "content string"), "content").first()
+    assert row.body.strip() == "nested text" and [a.filename for a in row.attachments] == ["f.pdf"]
+
+
+def test_mail_folder_round_trip(spark, tmp_path):
+    odd = "é — ünï\n\nline with trailing blank \n.\nFrom the start\n" + "x" * 2000
+    rows = [("<1@x>", "Café — naïve " * 20, "a@b.c", "d@e.f", None, odd, []), ("<2@x>", "", "a@b.c", "d@e.f", "r@s.t", "", [("Ünvoice.ZIP", "application/zip", 3)]), ("<3@x>", None, None, None, None, None, [])]
+    df = spark.createDataFrame(rows, f"id string, subject string, from_email string, to_email string, reply_to string, body string, attachments array<{M.ATTACHMENT}>")
+    path = str(tmp_path / "m")
+    D.write_folder(df.repartition(2), path)
+    good, bad = D.read_folder(spark, path)
+    got = {r.id: r for r in good.collect()}
+    assert bad.count() == 0 and set(got) == {"<1@x>", "<2@x>", "<3@x>"}
+    assert got["<1@x>"].body == odd and got["<1@x>"].subject.strip() == ("Café — naïve " * 20).strip()
+    assert got["<2@x>"].reply_to == "r@s.t" and [(a.filename, a.size) for a in got["<2@x>"].attachments] == [("Ünvoice.ZIP", 3)]
+    assert got["<3@x>"].body == "" and got["<3@x>"].from_email == ""
+    D.write_folder(df.limit(1), path)  # replaces what was there
+    assert D.read_folder(spark, path)[0].count() == 1
+    D.write_folder(df.limit(1), path, "txt", "append")
+    assert D.read_folder(spark, path)[0].count() == 1 and D.read_folder(spark, path, "txt")[0].count() == 1
+    (tmp_path / "empty").mkdir()
+    assert D.read_folder(spark, str(tmp_path / "empty"))[0].count() == 0
+
+
+def test_folder_partitions_are_bounded():
+    files = [(f"f{i}", size) for i, size in enumerate((10, 20, 500_000, 5, 5, 2_000_000, 1))]
+    groups = D.packed(files, 600_000)
+    assert [f for g in groups for f in g] == [f for f, _ in files]
+    assert all(len(g) == 1 or sum(dict(files)[f] + D.OPEN_BYTES for f in g) <= 600_000 for g in groups)
+    assert D.packed([], 1) == []
+
+
+def test_labelled_csv_readers(spark, tmp_path):
+    T.write_csv(spark.createDataFrame([("  two  blanks ", 1), ('quo"te, comma\nline', None)], "text string, target int"), str(tmp_path / "l"))
+    assert {(r.body, r.label) for r in T.read_raw_labelled(spark, str(tmp_path / "l")).collect()} == {("  two  blanks ", 1), ('quo"te, comma\nline', 0)}
+    T.write_csv(spark.createDataFrame([("https://a.b/c", 1, "bank")], "url string, label int, category string"), str(tmp_path / "u"))
+    assert [tuple(r) for r in T.read_labelled_urls(spark, str(tmp_path / "u")).collect()] == [("https://a.b/c", 1, "bank")]
+    T.write_predictions(spark.createDataFrame([("1", 0.25, "LOW")], "id string, probability double, risk_level string"), str(tmp_path / "p"))
+    assert [tuple(r) for r in spark.read.schema("id string, probability double, risk_level string").json(str(tmp_path / "p")).collect()] == [("1", 0.25, "LOW")]
+
+
 def test_json_lines_and_files(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text(json.dumps({"id": "1", "from": "a@b.c", "label": 1}) + "\n{broken\n")
     good, bad = M.read_json_lines(spark, str(tmp_path / "m.jsonl"))
