@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +23,22 @@ def lowered(*cols: str, sep: str = " ") -> Column:
     return F.lower(joined(*cols, sep=sep))
 
 
+def lexicon_hits(text: Column, *lexicons: list[str]) -> Column:
+    """ARRAY<INT>: non-overlapping occurrences, summed over the keywords of each lexicon.
+
+    The text crosses once, in Arrow batches, for all lexicons together, and each keyword is one search in it;
+    a column expression would build a copy of the text per keyword.
+    """
+    words = [list(lexicon) for lexicon in lexicons]
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([[sum(map(t.count, lexicon)) for lexicon in words] for t in texts.fillna("")])
+
+    return F.pandas_udf(count, "array<int>")(text)
+
+
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """Non-overlapping occurrences, summed over keywords.
+    """Non-overlapping occurrences, summed over keywords, of one lexicon in a short text.
 
     ``text`` should be a plain column: inside the lambda an expression would be evaluated once per
     keyword. One literal array keeps the generated code small whatever the lexicon.
@@ -61,12 +77,17 @@ def round6(c: Column) -> Column:
     return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
+def _entropies(texts: pd.Series) -> pd.Series:
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(points):
+            counts = np.bincount(points) if points.max() < 4096 else np.unique(points, return_counts=True)[1]
+            shares = counts[counts > 0] / len(points)
+            out[i] = -(shares * np.log2(shares)).sum()
+    return pd.Series(out)
+
+
 def entropy(text: Column) -> Column:
-    """Shannon entropy over characters, inside the row (no shuffle)."""
-    size = F.length(text)
-    per_char = F.transform(
-        F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")),
-        lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / size,
-    )
-    total = F.aggregate(per_char, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.when(size > 0, total).otherwise(F.lit(0.0))
+    """Shannon entropy over characters: one histogram of code points per text, in Arrow batches (no shuffle)."""
+    return F.pandas_udf(_entropies, "double")(text)

@@ -12,7 +12,7 @@ from lurelens import rules
 from lurelens.functions import links as L
 from lurelens.functions.domains import sender_domain
 from lurelens.functions.text import (
-    any_in, blank, entropy, flag, keyword_hits, lowered, words,
+    any_in, blank, entropy, flag, keyword_hits, lexicon_hits, lowered, words,
 )
 from lurelens.operators import links as U
 from lurelens.operators.domains import digit_substitution
@@ -159,17 +159,14 @@ def intent_scores(df: DataFrame, variant: str, lexicons: str = "full") -> DataFr
     # the lowered text is a column of its own, so it is built once per mail
     rows = df.withColumn("_lt", lowered("body", "subject")).withColumn("_lw", F.size(words(F.col("_lt"))))
     text, total = F.col("_lt"), F.col("_lw")
+    lists = [lex["urgency"], lex["credential"], lex["threat"], rules.LEGITIMACY_SHORT if variant == "presence" else lex["legitimacy"]]
+    # all lexicons are counted in one crossing of the text
+    rows = rows.withColumn("_hits", lexicon_hits(text, *lists, *([] if variant == "presence" else [lex["action_cta"]])))
+    urgency, credential, threat, legit, cta = (F.col("_hits")[i] for i in range(5))
     if variant == "presence":
         body = F.lower(blank("body"))
         cta = flag(body.contains(rules.CTA_PRESENCE[0])) + flag(body.contains(rules.CTA_PRESENCE[1]))
-        legit = keyword_hits(text, rules.LEGITIMACY_SHORT)
-    else:
-        cta = keyword_hits(text, lex["action_cta"])
-        legit = keyword_hits(text, lex["legitimacy"])
-    counts = [
-        keyword_hits(text, lex["urgency"]), keyword_hits(text, lex["credential"]), cta,
-        keyword_hits(text, lex["threat"]), legit,
-    ]
+    counts = [urgency, credential, cta, threat, legit]
     return rows.select(
         *df.columns,
         *[F.when(total > 0, _scaled(c, total)).otherwise(0.0).alias(n) for n, c in zip(INTENT_NAMES, counts)],
@@ -220,6 +217,7 @@ def operational_features(df: DataFrame) -> DataFrame:
     ``enrichment.mail_dns_flags``) and are 0 otherwise."""
     rows = df.withColumn("_lt", lowered("subject", "body"))
     text = F.col("_lt")
+    rows = rows.withColumn("_hits", lexicon_hits(text, rules.OPERATIONAL_URGENCY, rules.OPERATIONAL_SENSITIVE))
 
     def with_host(test: Callable[[Column, Column], Column]) -> Column:
         return any_url(lambda u: (L.netloc(u) != "") & test(u, L.netloc(u)))
@@ -231,9 +229,9 @@ def operational_features(df: DataFrame) -> DataFrame:
         "suspicious_tld_detected": with_host(lambda u, h: L.ends_with_any(h, rules.SUSPICIOUS_TLDS["operational"])),
         "encoded_url_detected": with_host(lambda u, h: u.rlike("%[0-9A-Fa-f]{2}") | h.rlike(L.IPV4_SHAPE)),
         "domain_mismatch": flag((sender != "") & (reply != "") & (F.lower(reply) != F.lower(sender))),
-        "urgency_score": keyword_hits(text, rules.OPERATIONAL_URGENCY) * F.lit(2.0),
+        "urgency_score": F.col("_hits")[0] * F.lit(2.0),
         "html_form_presence": flag(text.contains("<form") | text.contains('method="post"')),
-        "sensitive_keyword_count": keyword_hits(text, rules.OPERATIONAL_SENSITIVE),
+        "sensitive_keyword_count": F.col("_hits")[1],
         "asks_to_verify": flag(any_in(text, ["update your account", "verify"])),
         "asks_credentials": flag(any_in(text, ["password", "login"])),
     }

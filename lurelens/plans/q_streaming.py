@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lurelens.functions.text import round6
 from lurelens.plans import fixtures as fx
 from lurelens.plans import sqlparts as s
-from lurelens.plans.q_verdict import OP_VIEWS, API_P
+from lurelens.plans.q_verdict import _FULL, API_P, OP_VIEWS
 from lurelens.plans.q_domains import TRUST_VIEWS
 from lurelens.plans.registry import query
 from lurelens.session import work_folder
@@ -107,3 +107,15 @@ def stream_scored_mails(spark, sf):
 def stream_alerts(spark, sf):
     scored = S.score_arriving(_mail_stream(spark, sf)).select("id", "risk_level")
     return S.run_available(S.alerts(scored), work_folder(spark))[0].drop("batch")
+
+
+@query("stream__verdicts", s.sql(f"SELECT id, {s.r6('p')} AS probability, CAST(phish AS INT) AS phishing, risk_level, array_to_string(reasoning, ' | ') AS reasoning FROM v3", "email_urls", "trusted", "brands", "dns_records", **_FULL))
+def stream_verdicts(spark, sf):
+    """Arriving mails against a versioned DNS snapshot; an older version says that nothing resolves."""
+    folder = work_folder(spark)
+    records = fx.dns_records(spark, sf)
+    S.write_snapshot(records.withColumn("rdtype", F.lit("TXT")), f"{folder}/dns", 1)
+    S.write_snapshot(records, f"{folder}/dns", 2)
+    score = S.score_with_dns(f"{folder}/dns")
+    columns = ["id", round6(F.col("probability")).alias("probability"), "phishing", "risk_level", F.array_join("reasoning", " | ").alias("reasoning")]
+    return S.run_available(_mail_stream(spark, sf), f"{folder}/out", transform=lambda batch: score(batch).select(columns))[0].drop("batch")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from lurelens.operators import enrichment
 from lurelens.operators.analytics import high_risk_alerts
 from lurelens.plans import scoring
 
@@ -169,6 +170,33 @@ def score_arriving(mails: DataFrame) -> DataFrame:
     return scoring.score_stateless(mails)
 
 
+def write_snapshot(records: DataFrame, folder: str, version: int) -> None:
+    """One version of a snapshot, whole before anyone reads it: it gets its number's name as a folder."""
+    records.write.mode("errorifexists").parquet(f"{folder}/version={version}")
+
+
+def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest finished version; only its folder is read. A version without a success mark is not there yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath().getName()) for f in system.listStatus(path)]
+    done = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    if not done:
+        raise ValueError(f"no finished version of the snapshot in {folder}")
+    return spark.read.parquet(f"{folder}/version={max(done)}")
+
+
+def score_with_dns(folder: str) -> Callable[[DataFrame], DataFrame]:
+    """Verdict of a micro-batch of mails with the DNS snapshot that is newest when the batch starts: the batch
+    verdict as it is, look-ups and reasons included. For ``run_available``; the scoring itself keeps no state."""
+
+    def score(batch: DataFrame) -> DataFrame:
+        records = newest_snapshot(batch.sparkSession, folder)
+        return scoring.score_mails(batch, enrichment.dns_status(records))
+
+    return score
+
+
 def unexpired(rows: DataFrame, now: Column, ts: str = "ts", hours: int = 1) -> DataFrame:
     """Rows that are still within their keeping time at ``now``."""
     return rows.filter(F.col(ts) >= now - F.make_dt_interval(hours=F.lit(hours)))

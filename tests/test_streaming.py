@@ -98,3 +98,27 @@ def test_bad_lines_are_kept_as_a_stream(spark, tmp_path):
     (src / "a.jsonl").write_text('{"id": "1"}\n{broken\n')
     bad, _ = S.run_available(M.stream_json_quarantine(spark, str(src)), str(tmp_path / "work"))
     assert [r.value for r in bad.collect()] == ["{broken"]
+
+
+def test_every_batch_reads_the_newest_finished_snapshot(spark, tmp_path):
+    src, dns, work = tmp_path / "mails", str(tmp_path / "dns"), str(tmp_path / "work")
+    src.mkdir()
+
+    def arrive(n):
+        (src / f"{n}.json").write_text(f'{{"id": "{n}", "subject": "hello", "from_email": "a@known.example", "body": "text", "urls": ["https://known.example/x"]}}\n')
+
+    def run():
+        rows, _ = S.run_available(M.stream_json_lines(spark, str(src)), work, transform=score)
+        return {r.id: r.unresolved_sender_domain for r in rows.collect()}
+
+    def records(kind):
+        return spark.createDataFrame([("known.example", kind, "198.51.100.1")], "domain string, rdtype string, value string")
+
+    score = S.score_with_dns(dns)
+    S.write_snapshot(records("MX"), dns, 1)
+    arrive(1)
+    assert run() == {"1": 1}
+    S.write_snapshot(records("A"), dns, 2)
+    (tmp_path / "dns" / "version=3").mkdir()  # begun, never finished
+    arrive(2)
+    assert run() == {"1": 1, "2": 0}
