@@ -222,6 +222,23 @@ def _raw_div(a, b):
     return f"coalesce(({a})::DOUBLE / nullif({b}, 0), 0e0)"
 
 
+_SENDER = "concat(id % 31, '.', from_email)"
+
+
+@query("sender_stratified_split", s.sql("SELECT label, source, count(*) AS rows, 1 AS train_holds, 1 AS validation_holds, 1 AS test_holds, CAST(0 AS BIGINT) AS leaked_senders FROM emails GROUP BY label, source", "emails"))
+def sender_stratified_split(spark, sf):
+    """Shares of every stratum within two points (or two rows) of the ratios, and no sender on two sides."""
+    rows = fx.emails(spark, sf, text=False).withColumn("sender", F.expr(_SENDER)).select("id", "sender", "label", "source")
+    parts = S.sender_stratified_split(rows, "sender")
+    leaked = S.leaked_groups(parts, "sender").agg(F.count("*").alias("n")).scalar()
+    n = F.count("*")
+
+    def holds(name, share):
+        return flag(F.abs(F.count_if(F.col("split") == name) - n * share) <= F.greatest(n * 0.02, F.lit(2.0))).alias(f"{name}_holds")
+
+    return parts.groupBy("label", "source").agg(n.alias("rows"), holds("train", 0.7), holds("validation", 0.15), holds("test", 0.15)).withColumn("leaked_senders", leaked)
+
+
 def _avg_row(name, wa, wb):
     pair = {
         "precision": (_raw_div("tn", "tn + fn"), _raw_div("tp", "tp + fp")), "recall": (_raw_div("tn", "tn + fp"), _raw_div("tp", "tp + fn")),

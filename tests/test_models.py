@@ -95,6 +95,19 @@ def test_splits_are_disjoint_and_stratified(spark):
     assert kept == {0: 464, 1: 250}
 
 
+def test_senders_stay_whole_and_strata_keep_their_shares(spark):
+    """A sender with a third of all rows, senders of one row, missing ones, and case."""
+    sender = F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 2 == 0, "Hot@x.y").otherwise("hot@X.y")).when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("s"), F.col("id") % 700))
+    df = spark.range(6000).select("id", sender.alias("sender"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).cast("int").alias("label"), F.when(F.col("id") % 7 < 2, "web").otherwise("mail").alias("source"))
+    out = S.sender_stratified_split(df, "sender")
+    assert S.leaked_groups(out.withColumn("low", F.lower("sender")), "low").filter("low IS NOT NULL").count() == 0
+    for r in out.groupBy("label", "source").agg(F.count("*").alias("n"), *[F.count_if(F.col("split") == p).alias(p) for p in ("train", "validation", "test")]).collect():
+        assert all(abs(r[p] / r.n - share) <= 0.02 for p, share in (("train", 0.7), ("validation", 0.15), ("test", 0.15)))
+    again = S.sender_stratified_split(df.repartition(7), "sender")
+    assert out.exceptAll(again).count() == 0
+    assert S.sender_stratified_split(df.filter("false"), "sender").count() == 0
+
+
 def test_auc_matches_pairs(spark):
     rows = [(i, "m", (i * 7) % 3 % 2, ((i * 13) % 10) / 10.0) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, model string, label int, probability double")
