@@ -16,7 +16,8 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ class Vocabulary:
             self.bytes_of[token] = data
         #: Whether merging a token's own bytes yields the token; whether the token in the low bits may follow the one in the high bits.
         self.whole = Cache(lambda token: self.merged(self.bytes_of[token]) == [token], len(ranks))
-        self.pairs = Cache(self._pair, 600_000)
+        self.pairs = Cache(self._pair, 200_000)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -150,16 +151,24 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a document: id, n_tokens, digests of ids and of the bytes decoded from them; with_ids adds the ids as array<int>."""
 
-    @F.pandas_udf(RESULT + (", ids array<int>" if with_ids else ""))
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    id_type = docs.schema[id_col].dataType
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for texts in batches:
-            rows = []
-            for text in texts:
-                packed = own.encode(text)
-                row = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(own.decode(packed)).hexdigest())
-                rows.append((*row, array("i", packed)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-
-    out = docs.select(F.col(id_col), digests(text_of(text_col)).alias("out"))
-    return out.select(id_col, "out.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):  # what is made of a batch leaves in slices
+                part = batch.slice(at, 500)
+                packed = [own.encode(text) for text in part.column(1).to_pylist()]
+                sizes = np.array([len(p) // 4 for p in packed], np.int64)
+                columns = [
+                    part.column(0), pa.array(sizes), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(p)).hexdigest() for p in packed], pa.string()),
+                ]
+                if with_ids:
+                    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    shape = f"id {id_type.simpleString()}, {RESULT}" + (", ids array<int>" if with_ids else "")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(encoded, shape).withColumnRenamed("id", id_col)

@@ -20,7 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="lurelens-llm-")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4()}"
 
 
@@ -86,8 +85,8 @@ class PieceEncoder:
 
     def __init__(self, pattern: str, encode: Callable[[str], bytes]):
         self.split = regex.compile(pattern).findall
-        self.pieces = Cache(encode, 400_000)
-        self.stretches = Cache(lambda s: self._whole(" " + s), 150_000)
+        self.pieces = Cache(encode, 100_000)
+        self.stretches = Cache(lambda s: self._whole(" " + s), 60_000)
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.pieces[p] for p in self.split(text)])

@@ -45,7 +45,6 @@ _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _C = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_word_hash = Cache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -54,12 +53,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str, k: int) -> np.ndarray:
+def word_hashes() -> Cache:
+    """Hashes of words met by one task, which end with it."""
+    return Cache(lambda w: xxhash.xxh3_64_intdigest(w), 100_000)
+
+
+def shingle_set(text: str, k: int, hashes: Cache | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word k-grams; of the whole sequence if it is shorter."""
+    hashes = word_hashes() if hashes is None else hashes
     words = lower_words(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(k, len(words))
     out = np.full(len(words) - n + 1, n, np.uint64)
     for j in range(n):
@@ -139,17 +144,18 @@ def estimated(equal: Column) -> Column:
 
 WORDS, ODDS = HASHES * BITS // 64, ODD // 64
 PACKED, SKETCH = [f"s{i}" for i in range(WORDS)], [f"p{i}" for i in range(ODDS)]
-SIGNED = "id long, node long, n long, " + ", ".join(f"{c} long" for c in PACKED + SKETCH) + ", bands array<long>"
+SIGNED = "id long, tie long, node long, n long, " + ", ".join(f"{c} long" for c in PACKED + SKETCH) + ", bands array<long>"
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, node (names the set; null for empty sets), n (size of the set), packed signature, parity sketch, band keys."""
+    """id, tie (digest of the text), node (names the set; null for empty sets), n (size of the set), packed signature, parity sketch, band keys."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, k, hashes) for t in part.column(2).to_pylist()]
                 low = np.array([minima(s) for s in sets], dtype=np.uint32)
                 keys, packed = bands_and_bits(low)
                 odd = np.array([parities(s) for s in sets])
@@ -157,12 +163,12 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 ends = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(node, mask=empty), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(packed[:, i].view(np.int64)) for i in range(WORDS)],
+                    [part.column(0), part.column(1), pa.array(node, mask=empty), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(packed[:, i].view(np.int64)) for i in range(WORDS)],
                      *[pa.array(odd[:, i].view(np.int64)) for i in range(ODDS)],
                      pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))],
-                    ["id", "node", "n", *PACKED, *SKETCH, "bands"])
+                    ["id", "tie", "node", "n", *PACKED, *SKETCH, "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(signed, SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text")).mapInArrow(signed, SIGNED)
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -191,15 +197,30 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return roots
 
 
+#: Bits of the mark that keeps most other texts out of a join: 8 MB in all, whatever the corpus.
+MARK_BITS = 1 << 26
+
+
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (column id) whose id may be among `ids`: none that is among them is lost, few others stay while ids are fewer than bits."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS)) + 1
+    place = F.bitmap_bit_position(bit)
+    mark = ids.select(F.bitmap_bucket_number(bit).alias("mark_bucket"), place.alias("place")).groupBy("mark_bucket").agg(F.bitmap_construct_agg("place").alias("mark"))
+    byte = F.conv(F.hex(F.substring("mark", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = rows.join(F.broadcast(mark), F.bitmap_bucket_number(bit) == F.col("mark_bucket"))
+    return held.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def full_sets(nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """node, shingles (the whole set) of the nodes, each from the text of its first document."""
     wanted = nodes.select("node", F.col("first_doc").alias("id"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, k, hashes) for t in part.column(1).to_pylist()]
                 own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 right = own == part.column(0).to_numpy(zero_copy_only=False)  # another row of the same id
                 sets = [s for s, r in zip(sets, right) if r]
@@ -207,7 +228,8 @@ def full_sets(nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col:
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own[right]), pa.ListArray.from_arrays(ends, pa.array(values))], ["node", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(wanted, "id").select("node", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    texts = marked(texts, wanted).join(wanted, "id").select("node", "text")
     return texts.mapInArrow(rebuilt, "node long, shingles array<long>")
 
 
@@ -226,8 +248,8 @@ def may_link(percent: int) -> Column:
     return sizes & (equal_cells(side(PACKED, "a"), side(PACKED, "b")) >= least_equal(percent / 100)) & apart
 
 
-def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable), kept (whether the document is that one), one row a document."""
+def linked_rows(docs: DataFrame, folder: str | None = None, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tie, n (size of the set), root (names the component; null for rows linked with nothing by rule), lowest (its smallest id), one row a document."""
     folder = folder or shared_folder(docs.sparkSession)
     signed = written(signatures(docs, k, id_col, text_col), folder, "signatures")
     kinds = ["n", *PACKED, *SKETCH]
@@ -288,13 +310,32 @@ def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, perc
         roots = nodes.select("node", F.col("node").alias("root")).filter("false")
     whole = nodes.select("node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("first_doc").alias("lowest"))
-    named = whole.join(lowest, "root").select(F.col("node").alias("own"), "lowest")
-    out = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(named, F.col("node") == F.col("own"), "left")
-    component = F.coalesce("lowest", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    named = whole.join(lowest, "root").select(F.col("node").alias("own"), "root", "lowest")
+    out = signed.select("id", "tie", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(named, F.col("node") == F.col("own"), "left")
+    return out.select("id", "tie", "n", "root", "lowest")
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with their own columns: the one of smallest id of each component, and those linked with nothing."""
-    gone = near_duplicates(docs, k=k, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+def near_duplicates(docs: DataFrame, folder: str | None = None, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable), kept (whether the document is that one), one row a document."""
+    component = F.coalesce("lowest", "id")
+    return linked_rows(docs, folder, k, percent, id_col, text_col).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    )
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their own columns: one row of each component, of smallest id and then smallest digest of the text, and those linked with nothing.
+
+    Rows are told apart by id and text: rows that repeat an id with another text stand for themselves, and of rows equal in both one stays. Rows without an id or without words all stay.
+    """
+    folder = shared_folder(docs.sparkSession)
+    rows = written(linked_rows(docs, folder, k, percent, id_col, text_col).filter("root IS NOT NULL").groupBy("root", "id", "tie").agg(F.count("*").alias("times")), folder, "decided")
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("first")).select(F.col("root").alias("of"), "first")
+    rows = rows.join(first, F.col("root") == F.col("of")).select("id", "tie", "times", (F.struct("id", "tie") == F.col("first")).alias("stays"))
+    own_id, own_tie = (next(n for n in (f"__{c}{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("id", "tie"))
+    keyed = docs.withColumn(own_id, F.col(id_col).cast("long")).withColumn(own_tie, F.xxhash64(text_of(text_col)))
+    met = lambda table: (F.col(own_id) == table["id"]) & (F.col(own_tie) == table["tie"])
+    apart, repeated = rows.filter("NOT stays OR times > 1"), rows.filter("stays AND times > 1")
+    single = keyed.join(apart, met(apart), "left_anti")
+    once = keyed.join(repeated, met(repeated), "left_semi").dropDuplicates([own_id, own_tie])
+    return single.unionByName(once).select(*docs.columns)

@@ -77,6 +77,37 @@ def test_near_duplicates_equal_brute_force(spark, shared_words):
     assert tuple(minhash.near_duplicates(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).first())[2:] == (None, True)
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Repeated rows shrink to one, another text under the same id stays, missing ids and texts stay, columns may clash."""
+    text = " ".join(f"w{i}" for i in range(40))
+    near, other = text.replace("w39", "x"), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (2, other), (3, near), (4, other + " more"), (None, text), (None, text), (5, None), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("__gone", "__id", "__tie", "id", "tie", "root")}).repartition(3)
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, text), (2, other), (None, text), (None, text), (5, None), (5, None), (5, "")], key=repr)
+    assert minhash.keep_one(df.filter("false")).count() == 0
+
+
+def test_marks_lose_no_row(spark):
+    rows = spark.range(-500, 40_000).withColumn("text", F.lit("t"))
+    wanted = rows.filter("id % 7 = 0 OR id < 0").select("id")
+    left = minhash.marked(rows, wanted)
+    assert left.columns == rows.columns and wanted.join(left, "id", "left_anti").count() == 0 and left.count() < wanted.count() + 100
+    assert minhash.marked(rows, wanted.filter("false")).count() == 0
+
+
+def test_shared_folder_without_a_setting(spark, monkeypatch):
+    """Without the setting a local session gets a folder of its own; the session's settings stay as they are."""
+    class Bare:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    assert "/llm-" in shared_folder(Bare()) and not hasattr(Bare.conf, "set")
+
+
 def test_estimate_is_corrected_for_chance(spark):
     dice = random.Random(6)
     a = np.array(sorted({dice.getrandbits(64) for _ in range(1000)}), dtype=np.uint64)
