@@ -198,6 +198,23 @@ def test_each_id_is_scored_once_whatever_the_batch():
     assert all(abs(s.sum() - 1) < 1e-3 for s in shares)  # ids of a class share its probability
 
 
+def test_toxicity_hashes_words_and_their_grams():
+    dice = random.Random(3)
+    words = sorted({"".join(dice.choice("abcz09éжあ漢🙂") for _ in range(dice.randint(1, 12))).encode() for _ in range(400)} | {b"a", "é".encode(), b"aaaaaaaaaaaa", b"x" * 5000})
+    expected = []
+    for place, word in enumerate(words):
+        marked = f"<{word.decode()}>"
+        grams = {marked} | {marked[i:i + n] for n in toxicity.GRAMS for i in range(len(marked) - n + 1)}
+        expected += [(place, b) for b in sorted({zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams})]
+    place, bucket = toxicity.word_buckets(words)
+    assert list(zip(place.tolist(), bucket.tolist())) == expected
+    known = np.zeros(toxicity.BUCKETS, bool)
+    known[bucket[::3]] = True
+    place, bucket = toxicity.word_buckets(words, known)
+    assert list(zip(place.tolist(), bucket.tolist())) == [(p, b) for p, b in expected if known[b]]
+    assert [x.tolist() for x in toxicity.word_buckets([])] == [[], []]
+
+
 def test_toxicity_learns_words_and_inflections(spark):
     dice = random.Random(8)
     word = lambda: "".join(dice.choice(("ba", "ko", "ri", "te", "su", "ma")) for _ in range(dice.randint(1, 3)))
