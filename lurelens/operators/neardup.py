@@ -3,9 +3,11 @@ text is at least ``threshold`` similar. Exact: no sampling, no cap on candidates
 
 1. Copies (equal word sequences) fold to their first text by a digest, map-side. A group of copies,
    however large, is one row from here on.
-2. Prefix filter. Shingles are ordered rare first; the first one two similar texts share must lie where
-   the rest of each vector still has norm >= threshold. Only those leading, rare ones (about a tenth)
-   make candidates, so a group holds little else than near-copies.
+2. Counts, norm and prefix are made inside the row. Shingles are ordered rare first by a table of
+   2**18 bucket counts; the first one two similar texts share must lie where the rest of each vector
+   still has norm >= threshold. Any order common to all texts keeps this true, so buckets that several
+   shingles share cost candidates, never links. Only those leading, rare ones (about a tenth) leave
+   the row, and of them only those whose bucket was met more than once.
 3. Leaders. In each shingle group every text is compared with the first text of the group, then with the
    first text of each of 16 sub-groups: one row per member and leader, never all pairs. Texts found
    similar are decided and leave.
@@ -15,9 +17,13 @@ text is at least ``threshold`` similar. Exact: no sampling, no cap on candidates
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +31,7 @@ from lurelens.functions.stages import sealed, unpacked
 from lurelens.functions.text import blank
 from lurelens.operators.enrichment import left_on_key
 from lurelens.operators.vectorize import WORD_GAP
+from lurelens.session import saved
 
 SUB_GROUPS = 16
 SALTS = 8
@@ -32,70 +39,81 @@ WIDTH = 3
 SLACK = 1e-9
 
 
-def _saved(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """A written table in the shared folder: later steps read it instead of repeating the work, and
-    a lost executor costs nothing."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shingles(words: Column, width: int = WIDTH) -> Column:
+    """Runs of ``width`` words as 64-bit keys; a shorter text is one shingle. ``words`` must be a
+    plain column."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
 
 
-def first_copies(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, digest) of all texts with words, and (id, words) of the first text per word sequence."""
+def shingled(df: DataFrame, text: str = "text") -> DataFrame:
+    """(id, digest, shingles) of all texts with words; the digest is that of the word sequence."""
     words = F.filter(F.split(F.lower(blank(text)), WORD_GAP), lambda w: w != "")
     rows = sealed(df.select("id", words.alias("words"))).filter(F.size("words") > 0)
-    keyed = rows.withColumn("digest", F.sha2(F.array_join("words", " "), 256))
-    first = keyed.groupBy("digest").agg(F.min("id").alias("id"))
-    return keyed, keyed.join(first.select("id"), "id", "left_semi").select("id", "words")
+    return rows.select("id", F.sha2(F.array_join("words", " "), 256).alias("digest"), shingles(F.col("words")).alias("shingles"))
 
 
-def shingles(words: Column, width: int = WIDTH) -> Column:
-    """Runs of ``width`` words as 64-bit keys; a shorter text is one shingle. ``words`` must be a
-    plain column."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
+#: Size of the table of shingle counts that every task gets: 2**18 numbers, whatever the corpus.
+ORDER_BUCKETS = 1 << 18
+SLICE = 500
 
 
-def shingle_vectors(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, word, weight) with unit norm per text; ``word`` is a shingle."""
-    counts = unpacked(rows, ["id"], shingles(F.col("words"), width), "_n", "word").repartition("id").groupBy("id", "word").agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
-    return counts.select("id", "word", (F.col("n") / norm).alias("weight"))
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Number of shingles met in each bucket of their keys; counted by task, at most ``ORDER_BUCKETS`` rows reach the driver."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() % ORDER_BUCKETS, minlength=ORDER_BUCKETS)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["bucket", "n"])
 
-HOT_KEYS = 10_000
+    found = rows.select("shingles").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
 
 
-def with_frequency(vectors: DataFrame) -> DataFrame:
-    """Adds ``df``, the number of texts with the shingle.
+def _vector(shingles: np.ndarray, met: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order with unit-norm weights; leading keys that another text may have, with the squared norm from there on."""
+    keys, n = np.unique(shingles, return_counts=True)
+    weights = n / np.sqrt(np.square(n).sum())
+    often = met[keys % ORDER_BUCKETS]
+    common_first = np.lexsort((keys, often))[::-1]
+    rest = np.cumsum(np.square(weights[common_first]))
+    leads = (rest >= least) & (often[common_first] > 1)
+    return keys, weights, keys[common_first][leads], rest[leads]
 
-    A shingle of a large group of near-copies may stand in a third of all texts. Shingles in more
-    than 1/10 000 of all rows are at most 10 000, so they are broadcast; the others are joined by
-    shuffle, where no key can be larger than that share.
-    """
-    total = vectors.agg(F.count("*").alias("n")).scalar()
-    df = vectors.groupBy("word").agg(F.count("*").alias("df"))
-    limit = F.greatest(total / HOT_KEYS, F.lit(1000.0))
-    hot = F.broadcast(df.filter(F.col("df") > limit).withColumnRenamed("df", "hot_df"))
-    marked = vectors.join(hot, "word", "left")
-    common = marked.filter(F.col("hot_df").isNotNull()).withColumnRenamed("hot_df", "df")
-    rare = marked.filter(F.col("hot_df").isNull()).drop("hot_df").join(df.filter(F.col("df") <= limit), "word")
-    return common.unionByName(rare)
 
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
 
-def leading_words(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(word, id, rest): the shingles of the prefix filter, with the squared norm from there on."""
-    rows = with_frequency(vectors)
-    # summed from the common end, so the running total is the squared norm of the rest
-    order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("word")).rowsBetween(Window.unboundedPreceding, 0)
-    rest = F.sum(F.col("weight") * F.col("weight")).over(order)
-    return rows.select("word", "id", rest.alias("rest")).filter(F.col("rest") >= threshold * threshold - SLACK)
 
+def vectors(rows: DataFrame, met: np.ndarray, threshold: float) -> DataFrame:
+    """(id, keys, weights, lead, rest) of (id, shingles): the vector and the prefix of each text."""
+    counts = rows.sparkSession.sparkContext.broadcast(met)  # ORDER_BUCKETS numbers
+    least = threshold * threshold - SLACK
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                flat, ends = part.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(part.column(1)).to_numpy())])
+                out = list(zip(*(_vector(flat[a:b], counts.value, least) for a, b in zip(ends[:-1], ends[1:]))))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _lists(out[0], np.int64), _lists(out[1], np.float64), _lists(out[2], np.int64), _lists(out[3], np.float64)],
+                    ["id", "keys", "weights", "lead", "rest"],
+                )
+
+    return rows.select("id", "shingles").mapInArrow(made, f"id {id_type}, keys array<long>, weights array<double>, lead array<long>, rest array<double>")
 
-def packed(vectors: DataFrame) -> DataFrame:
-    """(id, keys, weights) as arrays ordered by key; a text has as many entries as distinct words."""
-    pair = F.sort_array(F.collect_list(F.struct(F.col("word").alias("k"), F.col("weight").alias("w"))))
-    return vectors.groupBy("id").agg(pair.alias("v")).select("id", F.col("v.k").alias("keys"), F.col("v.w").alias("weights"))
+
+def leading_words(arrays: DataFrame) -> DataFrame:
+    """(word, id, rest): the shingles of the prefix filter, with the squared norm from there on."""
+    rows = unpacked(arrays, ["id"], F.arrays_zip("lead", "rest"), "_n", "l")
+    return rows.select(F.col("l.lead").alias("word"), "id", F.col("l.rest").alias("rest"))
 
 
 def _dots(ak: pd.Series, aw: pd.Series, bk: pd.Series, bw: pd.Series) -> pd.Series:
@@ -115,46 +133,47 @@ def _similar(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return joined.filter(dot("ak", "aw", "bk", "bw") >= threshold - SLACK).select(F.col("b").alias("id")).distinct()
 
 
-def _led_pairs(open_: DataFrame, postings: DataFrame, sub: Column, threshold: float) -> DataFrame:
+def _within(threshold: float) -> Column:
+    """Whether a member's leading shingle and that of the earlier text leave room for the threshold."""
+    return (F.col("a") < F.col("id")) & (F.col("a_rest") * F.col("rest") >= threshold * threshold - SLACK)
+
+
+def grouped(postings: DataFrame) -> DataFrame:
+    """(word, id, rest, a, a_rest): members of the shingle groups of two or more texts, with the group's first text."""
+    first = postings.groupBy("word").agg(F.min(F.struct(F.col("id").alias("a"), F.col("rest").alias("a_rest"))).alias("l"), F.count("*").alias("n"))
+    led = left_on_key(postings, first.filter("n > 1").select("word", "l"), "word").filter(F.col("l").isNotNull())
+    return led.select("word", "id", "rest", "l.a", "l.a_rest")
+
+
+def _led_pairs(open_: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b): each undecided text with the first text of every sub-group of its words."""
-    leaders = postings.groupBy("word", sub.alias("sub")).agg(
-        F.min(F.struct(F.col("id").alias("a"), F.col("rest").alias("a_rest"))).alias("l")
-    ).select("word", "l.a", "l.a_rest")
-    grouped = leaders.groupBy("word").agg(F.collect_list(F.struct("a", "a_rest")).alias("ls"))  # at most SUB_GROUPS entries
-    rows = left_on_key(open_, grouped, "word")
-    met = unpacked(rows, ["id", "rest"], F.col("ls"), "_n", "l")
-    return met.filter(
-        (F.col("l.a") < F.col("id")) & (F.col("l.a_rest") * F.col("rest") >= threshold * threshold - SLACK)
-    ).select(F.col("l.a").alias("a"), F.col("id").alias("b")).distinct()
-
-
-def _other_pairs(open_: DataFrame, postings: DataFrame, threshold: float, salts: int = SALTS) -> DataFrame:
+    leaders = members.groupBy("word", F.pmod(F.xxhash64("id"), F.lit(SUB_GROUPS)).alias("sub")).agg(F.min(F.struct(F.col("id").alias("a"), F.col("rest").alias("a_rest"))).alias("l"))
+    firsts = leaders.groupBy("word").agg(F.collect_list("l").alias("ls"))  # at most SUB_GROUPS entries
+    met = unpacked(left_on_key(open_, firsts, "word"), ["id", "rest"], F.col("ls"), "_n", "l").select("id", "rest", "l.a", "l.a_rest")
+    return met.filter(_within(threshold)).select("a", F.col("id").alias("b")).distinct()
+
+
+def _other_pairs(open_: DataFrame, members: DataFrame, threshold: float, salts: int = SALTS) -> DataFrame:
     """(a, b): the still undecided texts with all earlier members of their words. The member side is
     cut by a hash of its id and the undecided side repeated, so a common word spreads over tasks."""
-    members = postings.select("word", F.col("id").alias("a"), F.col("rest").alias("a_rest"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    others = members.select("word", F.col("id").alias("a"), F.col("rest").alias("a_rest"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
     asking = open_.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    met = asking.join(members, ["word", "salt"])
-    return met.filter(
-        (F.col("a") < F.col("id")) & (F.col("a_rest") * F.col("rest") >= threshold * threshold - SLACK)
-    ).select("a", F.col("id").alias("b")).distinct()
+    return asking.join(others, ["word", "salt"]).filter(_within(threshold)).select("a", F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, folder: str, threshold: float = 0.95, text: str = "text") -> DataFrame:
     """Ids to remove. ``folder`` is a fresh place below the cluster's shared folder."""
-    keyed, rows = first_copies(df, text)
-    keys = _saved(keyed.select("id", "digest"), folder, "keys")
-    copies = keys.join(keys.groupBy("digest").agg(F.min("id").alias("first")), "digest").filter("id <> first").select("id", "first")
-    vectors = _saved(shingle_vectors(rows), folder, "shingles")
-    postings = _saved(leading_words(vectors, threshold), folder, "postings")
-    arrays = _saved(packed(vectors), folder, "vectors")
-
-    found = None
-    open_ = postings
-    for step, sub in enumerate((F.lit(0), F.pmod(F.xxhash64("id"), F.lit(SUB_GROUPS)))):
-        hit = _saved(_similar(_led_pairs(open_, postings, sub, threshold), arrays, threshold), folder, f"led{step}")
-        found = hit if found is None else found.unionByName(hit)
-        open_ = open_.join(hit, "id", "left_anti")
-    found = found.unionByName(_similar(_other_pairs(open_, postings, threshold), arrays, threshold))
-    found = _saved(found, folder, "found")
+    keyed = saved(shingled(df, text), folder, "shingles")
+    firsts = keyed.groupBy("digest").agg(F.min("id").alias("id")).select("id")
+    arrays = saved(vectors(keyed.join(firsts, "id", "left_semi"), bucket_counts(keyed), threshold), folder, "vectors")
+    members = saved(grouped(leading_words(arrays)), folder, "members")
+
+    led = saved(_similar(members.filter(_within(threshold)).select("a", F.col("id").alias("b")).distinct(), arrays, threshold), folder, "led")
+    open_ = members.select("word", "id", "rest").join(led, "id", "left_anti")
+    led_twice = saved(_similar(_led_pairs(open_, members, threshold), arrays, threshold), folder, "led_twice")
+    open_ = open_.join(led_twice, "id", "left_anti")
+    others = _similar(_other_pairs(open_, members, threshold), arrays, threshold)
+    found = saved(led.unionByName(led_twice).unionByName(others), folder, "found")
     # a copy goes anyway: an equal text comes before it
-    return found.unionByName(copies.select("id")).distinct()
+    copies = keyed.select("id").join(arrays.select("id"), "id", "left_anti")
+    return found.unionByName(copies).distinct()

@@ -17,7 +17,7 @@ from lurelens.plans import fixtures as fx
 from lurelens.plans import sqlparts as s
 from lurelens.plans.q_features import rounded
 from lurelens.plans.registry import query
-from lurelens.session import work_folder
+from lurelens.session import saved, work_folder
 
 _WORDS = f"list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND NOT list_contains({s.arr(rules.STOPWORDS)}, w))"
 TFIDF = {
@@ -51,7 +51,7 @@ _CO = {**TFIDF, "co": "SELECT wt.term, sum(CASE WHEN e.label = 1 THEN weight ELS
 
 @query("term_contributions", s.sql("SELECT id, CAST(rank AS INT) AS rank, term, floor(contribution * 1e6 + 5e-1) / 1e6 AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, term) AS rank FROM (SELECT wt.id, wt.term, round(weight * coefficient, 9) AS contribution FROM wt JOIN co ON co.term = wt.term)) WHERE rank <= 5", "emails", **_CO))
 def term_contributions(spark, sf):
-    weighted = _weights(spark, sf)
+    weighted = saved(_weights(spark, sf), work_folder(spark), "weights")
     labels = fx.emails(spark, sf, text=False).select("id", "label")
     return rounded(T.term_contributions(weighted, T.class_contrast(weighted, labels)))
 

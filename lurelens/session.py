@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,3 +49,11 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="lurelens-")
     return f"{shared.rstrip('/')}/lurelens-{uuid.uuid4()}"
+
+
+def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """A written table in the shared folder: later steps read it instead of repeating the work, and
+    a lost executor costs nothing."""
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
