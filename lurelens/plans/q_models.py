@@ -13,6 +13,7 @@ from lurelens.operators import models as M
 from lurelens.operators import splits as S
 from lurelens.operators import validation as X
 from lurelens.operators import vectorize as T
+from lurelens.operators import vectorstore as K
 from lurelens.plans import fixtures as fx
 from lurelens.plans import sqlparts as s
 from lurelens.plans.q_features import rounded
@@ -183,3 +184,21 @@ def batch_verdicts(spark, sf):
     train = rows.filter("split = 'train'").drop("split")
     model = M.fit_text_model(train, M.logistic(total_weight=float(train.count())), max_df=0.9)
     return M.batch_verdicts(model, rows.drop("split"))
+
+
+_DISTINCT = "SELECT count(DISTINCT subject) AS s, (SELECT count(*) FROM (SELECT subject FROM emails UNION SELECT body FROM emails)) AS b, count(*) AS n FROM emails"
+
+
+@query("encoder_cache_runs", s.sql("SELECT run, CAST(texts AS BIGINT) AS texts, CAST(encoded AS BIGINT) AS encoded, CAST(vectors AS BIGINT) AS vectors FROM (SELECT 1 AS run, n AS texts, s AS encoded, s AS vectors FROM di UNION ALL SELECT 2, 2 * n, b - s, b FROM di UNION ALL SELECT 3, 2 * n, 0, b FROM di)", "emails", di=_DISTINCT))
+def encoder_cache_runs(spark, sf):
+    """Three runs over one store: subjects, subjects with bodies, and the same again."""
+    mails = fx.emails(spark, sf)
+    store = K.VectorStore(spark, work_folder(spark), "hashed-words-32", K.hashed_words)
+    subjects = mails.select("id", F.col("subject").alias("text"))
+    everything = subjects.unionByName(mails.select("id", F.col("body").alias("text")))
+    out = None
+    for run, texts in enumerate((subjects, everything, everything), 1):
+        counts = texts.agg(F.lit(run).alias("run"), F.count("*").alias("texts"), F.lit(store.add(texts, "text")).cast("bigint").alias("encoded"))
+        stored = saved(counts.withColumn("vectors", store.vectors().agg(F.count("*").alias("n")).scalar()), work_folder(spark), "counts")
+        out = stored if out is None else out.unionByName(stored)
+    return out

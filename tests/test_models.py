@@ -8,6 +8,7 @@ from lurelens.operators import models as M
 from lurelens.operators import splits as S
 from lurelens.operators import validation as X
 from lurelens.operators import vectorize as T
+from lurelens.operators import vectorstore as K
 
 TEXTS = [
     "verify your account password now", "urgent verify account click here", "confirm password and login now", "click to verify your login",
@@ -130,6 +131,30 @@ def test_encoder_sees_each_text_once(spark):
     assert out == {1: [1.0], 2: [2.0], 3: [1.0], 4: [0.0]}
 
 
+def test_vectors_are_kept_between_runs(spark, tmp_path):
+    """Only unseen texts reach the encoder; a new session of the store and a doubled part change nothing."""
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None), (5, "")], "id int, text string").withColumn("embedding_of", F.lit("x"))
+    lengths = lambda texts: [[float(len(t))] for t in texts]
+    first = K.VectorStore(spark, str(tmp_path), "lengths", lengths)
+    assert (first.add(df, "text"), first.add(df, "text")) == (3, 0)
+    fails = lambda texts: 1 / 0 if texts else []
+    again = K.VectorStore(spark, str(tmp_path), "lengths", fails)
+    assert {r.id: r.embedding for r in again.encode(df, "text").collect()} == {1: [1.0], 2: [2.0], 3: [1.0], 4: [0.0], 5: [0.0]}
+    more = df.unionByName(df.limit(0)).unionByName(spark.createDataFrame([(6, "cccc")], "id int, text string").withColumn("embedding_of", F.lit("y")))
+    assert first.add(more, "text") == 1 and first.add(df.limit(0), "text") == 0
+    spark.read.parquet(f"{tmp_path}/lengths").limit(2).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lengths")
+    out = first.encode(more, "text")
+    assert out.count() == 6 and out.columns == [*df.columns, "embedding"]
+    norms = [sum(float(x) ** 2 for x in v) for v in K.hashed_words(["a b c", "", "naïve 漢字"])]
+    assert [round(n, 5) for n in norms] == [1, 0, 1]
+
+
+def test_encoder_spreads_a_hot_text(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    out = M.encode_texts(df, "text", lambda texts: [[float(len(t))] for t in texts])
+    assert out.filter(F.col("embedding")[0] == F.length("text")).count() == 4000
+
+
 def test_hybrid_and_scalers(spark):
     rows = [(i, [float(i % 2), 1.0], float(i), i % 2, i % 5 == 0) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, embedding array<float>, n double, label int, is_validation boolean")
