@@ -240,6 +240,10 @@ def newest_batch(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables as a file stream with its fixed schema."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """One of the given tables, a single file or a folder of files, as a file stream with its fixed schema."""
+    whole = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(whole).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(whole)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(whole)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)

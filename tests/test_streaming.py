@@ -122,3 +122,16 @@ def test_every_batch_reads_the_newest_finished_snapshot(spark, tmp_path):
     (tmp_path / "dns" / "version=3").mkdir()  # begun, never finished
     arrive(2)
     assert run() == {"1": 1, "2": 0}
+
+
+def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path):
+    """A table of several files is a folder; its files do not bear the table's name."""
+    rows = spark.range(20).selectExpr("id", "cast(id as string) AS text")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "single/documents.parquet")
+    rows.limit(3).write.parquet(str(tmp_path / "single/other"))
+    for place in (tmp_path, tmp_path / "single"):
+        got, _ = S.run_available(S.stream_table(spark, str(place), "documents"), str(tmp_path / f"work-{place.name}"))
+        assert sorted(r.id for r in got.collect()) == list(range(20))
