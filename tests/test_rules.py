@@ -184,3 +184,37 @@ def test_near_duplicates_match_brute_force(spark, tmp_path):
     want = {b for b in texts if any(a < b and cosine(vectors[a], vectors[b]) >= 0.95 - 1e-9 for a in texts)}
     got = {r.id for r in N.near_duplicates(df, str(tmp_path)).collect()}
     assert got == want and 61 in got and len(want) > 20
+
+
+def test_text_columns_hold_few_strings_at_a_time(spark, monkeypatch):
+    """Batches of any size become strings a few texts at a time; results do not depend on it."""
+    import math
+
+    import pyarrow as pa
+
+    from lurelens.functions import text as X
+
+    texts = ["abab", None, "", "zzz", "ünï\U0001f600"] * 30
+    taken = []
+
+    class Texts:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, n):
+            return Texts(self.values[at:at + n])
+
+        def to_pylist(self):
+            taken.append(len(self.values))
+            return self.values
+
+    got = X._entropies(Texts(texts)).to_pylist()
+    assert max(taken) <= X.TEXTS_AT_ONCE < len(texts) == sum(taken)
+    assert got[:5] == pytest.approx([1.0, 0.0, 0.0, 0.0, math.log2(4)]) and got[5:] == got[:-5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
+    rows = df.select("id", X.entropy(F.col("t")).alias("e"), X.lexicon_hits(F.col("t"), ["ab", "z"], ["zz"]).alias("h")).orderBy("id").collect()
+    assert [r.e for r in rows] == X._entropies(pa.array(texts)).to_pylist()
+    assert [r.h for r in rows[:5]] == [[2, 0], [0, 0], [0, 0], [3, 1], [0, 0]]
