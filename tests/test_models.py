@@ -199,3 +199,20 @@ def test_stacking_scores_no_row_it_was_fitted_on(spark):
 
     plain, other = score(None), score(8)
     assert len(plain) == 40 and plain[8] == pytest.approx(other[8], abs=1e-9) and plain[9] != pytest.approx(other[9], abs=1e-9)
+
+
+def test_vocabulary_of_a_fit_equals_the_vectorizers_own(spark, train):
+    """Counted in Spark instead of by the vectorizer's fit, which keeps every row's terms as objects; ties go by term."""
+    from pyspark.ml import Pipeline
+
+    steps = M.text_stages(features=30, max_df=0.9)
+    own = Pipeline(stages=steps[:5]).fit(train).transform(train)
+    words = M.words_of(train, "text", steps)
+    vectorizer = M.fitted_vocabulary(steps[4], T.term_counts(words.select(F.col("kept").alias("words"))), train)
+    counts = {r.term: (r.tf, r.df) for r in T.term_counts(words.select(F.col("kept").alias("words"))).collect()}
+    terms = [t for r in own.select("terms").collect() for t in r.terms]
+    assert {t: n for t, (n, _) in counts.items()} == {t: terms.count(t) for t in set(terms)}
+    order = sorted((t for t, (_, n) in counts.items() if 2 <= n <= 0.9 * 48), key=lambda t: (-counts[t][0], t))[:30]
+    assert vectorizer.vocabulary == order
+    with pytest.raises(ValueError):
+        M.fit_text_model(spark.createDataFrame([(1, "one thing", 1), (2, "another matter", 0)], "id long, text string, label int"), M.logistic(), stopwords=[])
