@@ -241,6 +241,36 @@ def test_toxicity_learns_words_and_inflections(spark):
     assert toxicity.score_documents(docs.filter("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch, sent):
+    """A toxic word met only outside the rows of the start, and in texts longer than those, is learnt too; thresholds come from all rows held back."""
+    monkeypatch.setattr(toxicity, "START_ROWS", 100)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1000)
+    monkeypatch.setattr(toxicity, "SENT_IDS", sent)
+    monkeypatch.setattr(toxicity, "START_CHARS", 400)
+    dice = random.Random(4)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        words = ["".join(dice.choice(("ba", "ko", "ri", "te", "su", "ma")) for _ in range(3)) for _ in range(80 if toxic and i % 2 else 20)]
+        if toxic:
+            words[dice.randrange(len(words))] = "vlotz" if i % 2 else "grukk"
+        rows.append((i, " ".join(words), "aa"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    table = toxicity.labelled_rows(docs, truth)
+    assert table.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3000)) and table.select("shard").distinct().count() == (3 if sent else 4)
+    seen = []
+    monkeypatch.setattr(toxicity, "best_threshold", lambda low, high, toxic, clean, own=toxicity.best_threshold: seen.append(int(toxic.sum() + clean.sum())) or own(low, high, toxic, clean))
+    model = toxicity.train(docs, truth)
+    assert seen[-1] == table.filter("held").count() > 400
+    held = [(r.flagged, labels[r.doc_id][1]) for r in toxicity.score_documents(docs, model).filter("held_out and doc_id % 2 = 1 or held_out and doc_id % 3 > 0").collect()]
+    assert sum(f == bool(y) for f, y in held) / len(held) > 0.97
+    again = toxicity.train(docs, truth)
+    assert all((again.weights[k] == model.weights[k]).all() for k in model.weights) and again.thresholds == model.thresholds
+
+
 def test_toxicity_rejects_nothing_it_has_not_learnt(spark):
     rows = [(i, "vile words" if i % 2 else "kind words", "aa") for i in range(40)] + [(100, None, "aa"), (101, "", None), (102, " .\n!", "aa"), (103, "\u6f22", "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
