@@ -184,6 +184,31 @@ def test_language_model_gathers_from_all_training_documents(spark):
     assert 0 < len(kept) <= 100 and lm.OVERLAP * 2 >= lm.WINDOW
 
 
+def test_language_model_goes_on_over_all_ids_and_mixes_by_all_documents_kept(spark, monkeypatch):
+    """A rule that the windows of the start hardly show is learnt from the rest; the weights of the mix come from all words kept back, of long documents too."""
+    path, pattern = queries.tokenizer("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(lm, "FIT_WINDOWS", 96)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("red blue", "sun moon")) for _ in range(100))) for i in range(3000)] + [(3000 + i, "zebra " * 20_000) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = lm.training_rows(docs, "doc_id", "text")
+    went_on = lm.gone_on
+    starts = []
+    monkeypatch.setattr(lm, "gone_on", lambda model, ids, end: starts.append((dict(model.w), ids.count())) or went_on(model, ids, end))
+    model = lm.fitted_model(training, path, pattern, shared_folder(spark))
+    kept = training.filter(lm.kept_back())
+    assert kept.count() > 100 and kept.filter("length(text) > 100000").count() and starts[0][1] == training.count() - kept.count()
+    subwords = lm.Subwords(path, pattern)
+    ids = np.array([i for w in "sun moon red blue red blue sun moon red blue".split() for i in subwords.of(w.encode())] + [subwords.end])
+    after, going = model.log_probabilities(ids, np.array([len(ids)])).sum(), model.w
+    model.w = starts[0][0]
+    assert after > model.log_probabilities(ids, np.array([len(ids)])).sum() + 0.5
+    model.w = going
+    vocabulary = lm.word_counts(docs)
+    texts = [r.text for r in kept.collect()]
+    assert lm.mix_weights(model, subwords, kept, vocabulary, 1000) == pytest.approx(lm.mix_weights(model, subwords, texts, vocabulary, 1000))
+
+
 def test_each_id_is_scored_once_whatever_the_batch():
     rng = np.random.default_rng(1)
     sequences = [rng.integers(0, 50, n) for n in (0, 1, 5, 23, 24, 25, 44, 45, 200, 61)]
