@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,32 @@ def test_token_files(spark, docs, empty):
     assert token_files.document_positions(spark, folder + "-none").count() == 0
 
 
+def test_token_files_give_the_library_each_word_once():
+    path = queries.tokenizer("byte_bpe_50k.json")[0]
+    words = [f"word{chr(97 + i)}é" for i in range(20)]
+    texts = ["start " + " ".join(w + m for w in words for m in ("", ",", ".", "?!", ".)")), "start " + " ".join(f"{w};" for w in words)]
+    texts += [t or "" for t in TEXTS] + ["a.'s b,'ll c)'t ä); 12, x_, 1,000.5. 日本。, ½, x\u0301, !? 'tis.", "g\x1c, h\u0085 i.\n\nj k.\nl, m\n", "a " + ",".join(words)]
+
+    class Counting:
+        def __init__(self, library):
+            self.library, self.given = library, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += texts
+            return self.library.encode_batch_fast(texts, **options)
+
+    for most, at_once in ((1_000_000, 16_384), (10, 3)):
+        own = token_files.LibraryEncoder(path, most, at_once)
+        own.library = counting = Counting(own.library)
+        assert own.ids(pa.array(texts[:1]), 0).to_pylist() == [counting.library.encode(texts[0], add_special_tokens=False).ids + [0]]
+        assert sum(t.count("word") for t in counting.given) == len(words)
+        for at in (0, 2, 9, 0):
+            got = own.ids(pa.array(texts[at:], pa.string()), 0).to_pylist()
+            assert got == [counting.library.encode(t, add_special_tokens=False).ids + [0] for t in texts[at:]]
+        assert most < 1_000_000 or sum(t.count("wordaé\n\n") for t in counting.given) == 1
+    assert own.ids(pa.array([], pa.string()), 0).to_pylist() == []
+
+
 def brute_secrets(text):
     kinds = ("assign", "access", "hex")
     out = [("assign", *m.span()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
