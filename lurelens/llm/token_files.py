@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurelens.llm.common import IN_RUN, crc, text_of
+from lurelens.llm.common import IN_RUN, Remembered, by_size, crc, spaced_ids, text_of
 
 
 def _joined(table: pa.ListArray, codes: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -32,10 +32,8 @@ class LibraryEncoder:
     """Ids by the tokenizers library, as Arrow lists.
 
     Texts are cut at single spaces, and each distinct stretch of a batch is cut once more before closing marks that stand behind
-    a letter or digit: both cuts are cuts of the vocabulary's pattern too. What was met before is looked up in arrays that hold
-    `most` words or so, those asked for last. The rest goes to the library, many as one text, with an empty line after each: that
-    line is a piece of its own, so its id marks where they end. Stretches with white space at an end or empty lines, and texts
-    with longer runs of white space, go one by one.
+    a letter or digit: both cuts are cuts of the vocabulary's pattern too. What was met before is remembered,
+    the rest goes to the library, many as one text. Texts with longer runs of white space go one by one.
     """
 
     MARKS, BEFORE = ".,;:!?)", "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
@@ -45,43 +43,11 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.most, self.at_once, self.batch = most, at_once, 0
-        self.words, self.lists, self.used = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.empty(0, np.int64)
         self.mark = self.library.encode("\n\n", add_special_tokens=False).ids
+        self.known = Remembered(lambda words: [spaced_ids(words, self.mark, self._run)], most, at_once)
 
-    def _run(self, texts: list[str]) -> pa.ListArray:
-        return pa.array([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)], pa.list_(pa.int32()))
-
-    def _learnt(self, new: list[str]) -> pa.ListArray:
-        """Ids of some words, each with a space in front."""
-        plain = np.array([len(self.mark) == 1 and bool(s) and s.strip() == s and "\n\n" not in s for s in new])
-        joined = self._run([])
-        if plain.any():
-            text = "".join([f" {s}\n\n" for s, p in zip(new, plain) if p])
-            ids = np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
-            held = ids != self.mark[0]
-            if len(ids) - held.sum() == plain.sum():
-                joined = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)[~held]), pa.int32()), pa.array(ids[held]))
-            else:
-                plain[:] = False
-        both = pa.concat_arrays([joined, self._run([" " + s for s, p in zip(new, plain) if not p])])
-        return both.take(pa.array(np.argsort(np.argsort(~plain, kind="stable"))))
-
-    def _known(self, words: pa.StringArray) -> np.ndarray:
-        """Places of distinct words, now all known."""
-        self.batch += 1
-        if len(self.words) > self.most:
-            last = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
-            self.words, self.lists, self.used = self.words.take(pa.array(last)), self.lists.take(pa.array(last)), self.used[last]
-        places = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
-        new = words.take(pa.array(np.flatnonzero(places < 0)))
-        places[places < 0] = len(self.words) + np.arange(len(new))
-        if len(new):
-            lists = [self._learnt(new.slice(at, self.at_once).to_pylist()) for at in range(0, len(new), self.at_once)]
-            self.words, self.lists = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.lists, *lists])
-            self.used = np.append(self.used, np.zeros(len(new), np.int64))
-        self.used[places] = self.batch
-        return places
+    def _run(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stretches(self, stretches: pa.StringArray) -> pa.ListArray:
         """Ids of distinct stretches, each with a space in front."""
@@ -89,13 +55,14 @@ class LibraryEncoder:
         cut = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(stretches)), pc.match_substring_regex(bare, self.BEFORE))
         words = pc.if_else(cut, bare, stretches).dictionary_encode()
         marks = pc.struct_field(pc.extract_regex(stretches.filter(cut), f"(?P<marks>[{self.MARKS}]+)$"), "marks").dictionary_encode()
-        places = self._known(words.dictionary)
+        places = self.known.places(words.dictionary)
+        lists = self.known.columns[0]
         sizes = 1 + cut.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         codes = np.empty(sizes.sum(), np.int64)
         codes[ends - sizes] = places[words.indices.to_numpy()]
-        codes[ends[sizes == 2] - 1] = len(self.lists) + marks.indices.to_numpy()
-        return _joined(pa.concat_arrays([self.lists, self._run(marks.dictionary.to_pylist())]), codes, ends)
+        codes[ends[sizes == 2] - 1] = len(lists) + marks.indices.to_numpy()
+        return _joined(pa.concat_arrays([lists, pa.array(self._run(marks.dictionary.to_pylist()), pa.list_(pa.int32()))]), codes, ends)
 
     def ids(self, texts: pa.StringArray, end_id: int) -> pa.ListArray:
         """Ids of each text and the end."""
@@ -103,7 +70,7 @@ class LibraryEncoder:
         whole = ["<|" in t or bool(IN_RUN.search(t)) for t in strings]
         parts = pc.split_pattern(pc.if_else(pa.array(whole, pa.bool_()), "", texts), " ")
         sizes = pc.list_value_length(parts).to_numpy().astype(np.int64)
-        heads = self._run([t if w else t.partition(" ")[0] for t, w in zip(strings, whole)])
+        heads = pa.array(self._run([t if w else t.partition(" ")[0] for t, w in zip(strings, whole)]), pa.list_(pa.int32()))
         behind = np.ones(sizes.sum(), bool)
         behind[np.cumsum(sizes) - sizes] = False
         rest = parts.flatten().filter(pa.array(behind)).dictionary_encode()
@@ -133,9 +100,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path)
         for batch in batches:
-            filled = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)) // (16 << 20)
-            starts = np.append(np.flatnonzero(np.diff(filled, prepend=-1)), batch.num_rows)  # some 16 MB at a time
-            for at, to in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            for at, to in by_size(batch.column(2)):
                 part = batch.slice(at, to - at)
                 ids = own.ids(part.column(2), end_id)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.list_value_length(ids).cast(pa.int64()), ids], ["id", "tie", "n_tokens", "ids"])

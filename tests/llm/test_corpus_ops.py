@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,30 @@ def test_language_model_goes_on_over_all_ids_and_mixes_by_all_documents_kept(spa
     assert lm.mix_weights(model, subwords, kept, vocabulary, 1000) == pytest.approx(lm.mix_weights(model, subwords, texts, vocabulary, 1000))
 
 
+def test_language_model_hands_python_few_rows_at_once(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, fitted = spark.conf.get(key), lm.fitted_model
+    monkeypatch.setattr(lm, "fitted_model", lambda *a: seen.append(int(spark.conf.get(key))) or fitted(*a))
+    docs = spark.createDataFrame([(i, f"some words number {i % 7}, {i}") for i in range(1200)], "doc_id long, text string").coalesce(1)
+    assert lm.score_documents(docs, *queries.tokenizer("byte_bpe_50k.tiktoken"), shared_folder(spark)).count() == 1200
+    assert len(seen) == 1 and 0 < seen[0] <= 1000 and spark.conf.get(key) == before
+
+
+def test_language_model_words_are_those_of_the_library_one_by_one():
+    path, pattern = queries.tokenizer("byte_bpe_50k.tiktoken")
+    subwords, asked = lm.Subwords(path, pattern), []
+    texts = ["", " \n", "A  b\tc\x1cd  x y\u0085 \u0130 É\n", "it's DON'T x\u3000", "\u3000 1,000.5 '' (a) \u2028b\u2028", "word " * 50] * 9 + ["z\x0b\x0cZ \u00a0"]
+    words = lm.Words(subwords, 5)
+    encode, subwords.encode = subwords.encode, lambda t: asked.append(t) or encode(t)
+    got = list(words.runs(pa.array(texts), 10))
+    own = [[*lower_words(t), lm.END_WORD] for t in texts]
+    ids = [[subwords.end] if w == lm.END_WORD else encode(" " + w.decode()) for ws in own for w in ws]
+    assert [at for at, _ in got] == list(range(0, len(texts), 10)) and np.concatenate([s.count for _, s in got]).tolist() == [len(ws) for ws in own]
+    assert np.concatenate([s.ids for _, s in got]).tolist() == [i for word in ids for i in word] and np.concatenate([s.sizes for _, s in got]).tolist() == [len(word) for word in ids]
+    assert np.concatenate([s.hashes for _, s in got]).tolist() == [lm._hash(w) for ws in own for w in ws]
+    assert sum(t.count("word") for t in asked) == 1 and len(asked) < len({w for ws in own for w in ws})
+
+
 def test_each_id_is_scored_once_whatever_the_batch():
     rng = np.random.default_rng(1)
     sequences = [rng.integers(0, 50, n) for n in (0, 1, 5, 23, 24, 25, 44, 45, 200, 61)]
