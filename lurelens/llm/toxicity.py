@@ -323,34 +323,82 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
                        F.spark_partition_id().alias("shard")).sortWithinPartitions("order", "doc_id", "text")
 
 
+class Counts:
+    """How often whole numbers (below 2 ** 31) were met: `most` or so wait, then they join the sorted ones. Memory follows the distinct numbers, not their range."""
+
+    def __init__(self, most: int = 1 << 22):
+        self.most, self.keys, self.counts = most, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys.astype(np.int32))
+        self.held += len(keys)
+        if self.held >= self.most:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers met so far, in order, and their counts."""
+        if self.held:
+            keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.waiting, self.held = [], 0
+            at = np.searchsorted(self.keys, keys)
+            old = np.append(self.keys, np.int32(-1))[at] == keys
+            self.counts[at[old]] += counts[old]
+            self.keys, self.counts = np.insert(self.keys, at[~old], keys[~old]), np.insert(self.counts, at[~old], counts[~old])
+        return self.keys, self.counts
+
+
+class WordBuckets:
+    """Buckets of words and their n-grams, one word after another in one array; all are forgotten when there are more than `most`."""
+
+    def __init__(self, most: int = 100_000):
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.buckets, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, words: set[bytes], at_once: int = 10_000) -> None:
+        if len(self.index) > self.most:
+            self._forget()
+        new = list(words.difference(self.index))
+        for begin in range(0, len(new), at_once):
+            own = new[begin:begin + at_once]
+            place, bucket = word_buckets(own)
+            self.index.update(zip(own, range(len(self.ends) - 1, len(self.ends) - 1 + len(own))))
+            self.ends = np.concatenate([self.ends, len(self.buckets) + np.cumsum(np.bincount(place, minlength=len(own)))])
+            self.buckets = np.concatenate([self.buckets, bucket.astype(np.int32)])
+
+    def of(self, words: set[bytes]) -> np.ndarray:
+        """Buckets of words learnt, one word after another."""
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        sizes = self.ends[at + 1] - self.ends[at]
+        return self.buckets[np.repeat(self.ends[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def frequent_buckets(rows: DataFrame, clean: int, toxic: int) -> np.ndarray:
     """Buckets of three of the (text, label) rows at least and of a 200th of them, both labels weighing alike; no more than 200 times the buckets of a row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = np.zeros((2, BUCKETS), np.int32), np.zeros(BUCKETS, np.int32)
-        known: dict[bytes, np.ndarray] = {}
+        held, known = Counts(), WordBuckets()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 split = [set(text.encode("utf-8", "replace").translate(_WORDS).split()) for text in part.column(0).to_pylist()]
-                if len(known) > 100_000:
-                    known.clear()
-                new = list(set().union(*split).difference(known))
-                for begin in range(0, len(new), _PIECE):
-                    own = new[begin:begin + _PIECE]
-                    place, bucket = word_buckets(own)
-                    ends = np.append(np.flatnonzero(np.diff(place)) + 1, len(place)).tolist()
-                    known.update((w, bucket[a:b]) for w, a, b in zip(own, [0, *ends], ends))
+                known.learn(set().union(*split))
                 for words, label in zip(split, part.column(1).to_pylist()):
                     if words:
-                        met = np.concatenate([known[w] for w in words])
-                        order = np.arange(len(met), dtype=np.int32)
-                        last[met] = order
-                        held[int(label == 1), met[last[met] == order]] += 1  # each bucket once a row
-        found = np.flatnonzero(held.any(axis=0))
-        for at in range(0, len(found), 1 << 18):
-            own = found[at:at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *[pa.array(held[y, own], pa.int64()) for y in (0, 1)]], ["k", "clean", "toxic"])
+                        met = np.sort(known.of(words))
+                        held.add(met[np.diff(met, prepend=-1) > 0] * 2 + (label == 1))  # each bucket once a row
+        keys, counts = held.merged()
+        buckets, toxic = keys >> 1, np.where(keys & 1, counts, 0)
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        sums = [np.add.reduceat(c, starts) if len(starts) else c for c in (counts - toxic, toxic)]
+        for at in range(0, len(starts), 1 << 18):
+            own = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[starts[own]], pa.int32()), *[pa.array(c[own], pa.int64()) for c in sums]], ["k", "clean", "toxic"])
 
     seen = rows.select("text", "label").mapInArrow(counted, "k int, clean long, toxic long").groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     often = (F.col("clean") + F.col("toxic") >= 3) & (F.col("clean") / clean + F.col("toxic") / toxic >= 2 / 200)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -265,6 +266,42 @@ def test_toxicity_hashes_words_and_their_grams():
     assert [x.tolist() for x in toxicity.word_buckets([])] == [[], []]
 
 
+def test_toxicity_counts_buckets_in_memory_that_follows_the_words(spark):
+    """A task that counts few buckets holds no array over all possible buckets; words forgotten on the way are counted all the same."""
+    task = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            task.append(run)
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        toxicity.frequent_buckets(Rows(), 2, 1)
+    texts, labels = ["Alpha beta beta", "", "alpha été gamma", " ".join(f"w{i}" for i in range(300)), "beta delta"], [1, 0, 0, 0, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts * 90), pa.array(labels * 90, pa.int32())], ["text", "label"])
+    tracemalloc.start()
+    out = list(task[0](iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {}
+    for text, label in zip(texts, labels):
+        words = sorted({w.encode() for w in text.lower().split()})
+        for b in set(toxicity.word_buckets(words)[1].tolist()) if words else ():
+            want.setdefault(b, [0, 0])[int(label == 1)] += 90
+    assert {k: [c, t] for b in out for k, c, t in zip(*[b.column(i).to_pylist() for i in range(3)])} == want and sum(b.num_rows for b in out) == len(want)
+    assert peak < 64 << 20
+    counts, known = toxicity.Counts(3), toxicity.WordBuckets(2)
+    for own in ([5, 1], [1, 1], [9], [0, 5]):
+        counts.add(np.array(own))
+    assert [x.tolist() for x in counts.merged()] == [[0, 1, 5, 9], [1, 3, 2, 1]]
+    for own in ({b"one", b"two"}, {b"two", b"three", b"four"}, {b"one"}):
+        known.learn(own)
+        assert sorted(known.of(own).tolist()) == sorted(b for w in own for b in toxicity.word_buckets([w])[1].tolist())
+
+
 def test_toxicity_learns_words_and_inflections(spark):
     dice = random.Random(8)
     word = lambda: "".join(dice.choice(("ba", "ko", "ri", "te", "su", "ma")) for _ in range(dice.randint(1, 3)))
