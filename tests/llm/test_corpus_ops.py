@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -235,6 +236,57 @@ def test_language_model_words_are_those_of_the_library_one_by_one():
     assert sum(t.count("word") for t in asked) == 1 and len(asked) < len({w for ws in own for w in ws})
 
 
+def test_language_model_counts_ids_at_the_pace_of_numpy():
+    """A task adds up keys without converting them one by one, which takes some forty times as long."""
+    task = []
+
+    class Ids:
+        def mapInArrow(self, run, _):
+            task.append(run)
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        lm.Gathered(Ids(), 999).summed(lambda flat: flat[1:], 1000)
+    ids = np.random.default_rng(4).integers(0, 999, 400_000)
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(401) * 1000, pa.int32()), pa.array(ids, pa.int32()))], ["ids"])
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    out = list(task[0](iter([batch])))
+    assert {k: c for b in out for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())} == Counter(ids.tolist())
+    assert least(lambda: list(task[0](iter([batch])))) < 12 * least(lambda: np.add.at(np.zeros(1000, np.int64), ids, 1))
+
+
+@pytest.mark.parametrize("large", [1, 60])
+def test_language_model_scores_equal_the_plain_formula(large):
+    """Also with weights whose exp is beyond single precision."""
+    rng = np.random.default_rng(2)
+    model = lm.AttentionModel(51, [rng.integers(0, 50, 40) for _ in range(9)])
+    model.fit([rng.integers(0, 50, 200) for _ in range(9)], 50, steps=30)
+    model.w = {n: (v * (large if n in "cbq" else 1)).astype(np.float32) for n, v in model.w.items()}
+    ids = np.append(rng.integers(0, 50, lm.WINDOW - 1), 50)
+    w = {n: v.astype(np.float64) for n, v in model.w.items()}
+    flat = np.append(50, ids)
+    x = w["e"][model.input[flat[:-1]]] + w["p"]
+    a = (x @ w["q"]) @ (x @ w["k"]).T / math.sqrt(lm.DIMENSIONS)
+    a = np.where(np.tri(len(a)) > 0, a, -np.inf)
+    a = np.exp(a - a.max(axis=1, keepdims=True))
+    z = (x + a / a.sum(axis=1, keepdims=True) @ (x @ w["v"]) @ w["o"]) @ w["c"] + w["b"]
+    goal, top = model.cls[ids], z.max(axis=1)
+    logs = z[np.arange(len(ids)), goal] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+    got = model.log_probabilities(ids, np.array([len(ids)]))
+    assert got == pytest.approx(logs / math.log(10) + model.inside[model.cls[flat[:-1]], ids], rel=1e-3, abs=1e-3 * large)
+    before = {n: v.copy() for n, v in model.w.items()}
+    model.fit_windows(iter([flat[None, :lm.WINDOW + 1]]), 1)
+    assert all(np.isfinite(v).all() and v.shape == before[n].shape for n, v in model.w.items()) and any((v != before[n]).any() for n, v in model.w.items())
+
+
 def test_each_id_is_scored_once_whatever_the_batch():
     rng = np.random.default_rng(1)
     sequences = [rng.integers(0, 50, n) for n in (0, 1, 5, 23, 24, 25, 44, 45, 200, 61)]
