@@ -216,3 +216,34 @@ def test_vocabulary_of_a_fit_equals_the_vectorizers_own(spark, train):
     assert vectorizer.vocabulary == order
     with pytest.raises(ValueError):
         M.fit_text_model(spark.createDataFrame([(1, "one thing", 1), (2, "another matter", 0)], "id long, text string, label int"), M.logistic(), stopwords=[])
+
+
+def test_folds_count_terms_once_and_fit_as_alone(spark, train, tmp_path):
+    """One table of counts serves all folds, nothing is cached, and scores are those of a fit on the other folds by themselves."""
+    rows = S.stratified_folds(train, 3).withColumn("text", F.concat("text", F.lit(" only"), F.translate(F.col("fold").cast("string"), "012", "abc")))
+    cached = []
+
+    def candidate(total):
+        real = M.logistic(1.0, total, 50)
+        fit = real.fit
+
+        def noted(table):
+            cached.append(table.storageLevel.useMemory or table.storageLevel.useDisk)
+            return fit(table)
+
+        real.fit = noted
+        return real
+
+    scores = X.fold_scores(rows, {"C 1": candidate}, str(tmp_path), stopwords=[])
+    assert cached == [False] * 3
+    terms = spark.read.parquet(str(tmp_path / "terms"))
+    words = M.words_of(rows, "text", M.text_stages(stopwords=[]))
+    for i in range(3):
+        want = {r.term: (r.tf, r.df) for r in T.term_counts(words.filter(F.col("fold") != i).select(F.col("kept").alias("words"))).collect() if r.df >= 2}
+        got = {r.term: (r.tf, r.df) for r in terms.select("term", *[(F.col(n) - F.col(f"{n}_{i}")).alias(n) for n in ("tf", "df")]).collect() if r.df >= 2}
+        assert got == want
+        others = rows.filter(F.col("fold") != i)
+        model = M.fit_text_model(others, M.logistic(1.0, float(others.count()), 50), stopwords=[])
+        alone = {r.id: r.probability for r in M.scored(model, rows.filter(F.col("fold") == i)).collect()}
+        here = {r.id: r.probability for r in scores.filter(F.col("fold") == i).collect()}
+        assert here.keys() == alone.keys() and all(abs(here[k] - alone[k]) < 1e-4 for k in alone)
